@@ -11,11 +11,15 @@ of their own; an empty table gives no rows; other columns are not carried.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -23,39 +27,81 @@ from tokenizers import Tokenizer
 from tidemark.llm.common import by_batch, cut, ship, table
 
 VOCABULARY, CAPACITY, END_ID = "word_bpe_49k.json", 2048, 0
-CACHE, LONG = 150_000, 48
+CACHE, LONG = 250_000, 48
+#: Beyond these letters, or at this one, lower-casing and composing may depend on each other.
+_other = "[^\\x00-\u024f]|\u0130"
 _made: dict[str, "Cutter"] = {}
 
 
 class Cutter:
-    """Token ids of whole texts. The tokenizer splits at white space, so ids of a chunk between blanks are kept."""
+    """Token ids of whole texts.
+
+    The tokenizer splits at white space, so ids of the chunks between blanks are put together. Chunks seen lately are
+    kept in two generations of bounded size. Latin text is lower-cased first, which the tokenizer does anyway.
+    """
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
         self.tokenizer.encode_special_tokens = True
 
-    def ids(self, text: str) -> np.ndarray:
-        chunks = text.replace("\n", " ").split(" ")
-        new = [c for c in set(chunks) if c not in self.known]
-        own = {}
-        if new:
-            if len(self.known) + len(new) > CACHE:
-                self.known.clear()
-                new = list(set(chunks))
-            for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                ids = np.asarray(e.ids, "<u4").tobytes()
-                if len(c) <= LONG and len(self.known) < CACHE:
-                    self.known[c] = ids
+    def raw(self, chunks: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def known(self, chunks: list[str]) -> list[bytes]:
+        """Ids of different chunks."""
+        young, old, out = self.young, self.old, {}
+        new: dict[str, None] = {}
+        ends: list[str] = []
+        for c in chunks:
+            if (got := young.get(c)) is None and (got := old.get(c)) is not None:
+                young[c] = got
+            if got is not None:
+                out[c] = got
+            elif c[-1:] in (".", ",") and c[:-1].isalpha():  # a letter's run and one mark are two words
+                ends.append(c)
+                if (base := young.get(c[:-1]) or old.get(c[:-1])) is None:
+                    new[c[:-1]] = None
                 else:
-                    own[c] = ids
-        known = self.known
-        return np.frombuffer(b"".join([own[c] if c in own else known[c] for c in chunks] if own else map(known.__getitem__, chunks)), "<u4")
+                    out[c[:-1]] = base
+            else:
+                new[c] = None
+        out.update(zip(new, self.raw(list(new)), strict=True))
+        marks = dict(zip(".,", self.raw([".", ","]), strict=True))
+        for c in ends:
+            out[c] = out[c[:-1]] + marks[c[-1]]
+        young.update((c, out[c]) for c in (*new, *ends) if len(c) <= LONG)
+        if len(young) > CACHE:
+            self.young, self.old = {}, young
+        return [out[c] for c in chunks]
+
+    def ids(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text; null is empty."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = pc.if_else(pc.match_substring_regex(texts, _other), texts, pc.utf8_lower(texts))
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        parts = self.known(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        first, pool = np.cumsum(size) - size, np.frombuffer(b"".join(parts), "<u4")
+        at, edge = coded.indices.to_numpy(), split.offsets.to_numpy() - split.offsets[0].as_py()
+        for lo, hi in zip(edge, edge[1:], strict=False):
+            own = at[lo:hi]
+            n = size[own]
+            yield pool[np.repeat(first[own] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+
+def grouped(texts: pa.Array, most: int = 1 << 24) -> Iterator[pa.Array]:
+    """Slices of the texts of bounded size, or of one text."""
+    bytes_ = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy())])
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(bytes_, bytes_[lo] + most, side="right")) - 1)
+        yield texts.slice(lo, hi - lo)
+        lo = hi
 
 
 def cutter(path: str) -> Cutter:
     if path not in _made:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _made[path] = Cutter(path)
     return _made[path]
@@ -69,8 +115,9 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, w
     def make(b: pa.RecordBatch) -> pa.RecordBatch:
         c = cutter(path or public_tokenizers.path(VOCABULARY))
         at, rows, ids = [], [], []
-        for i, t in enumerate(b.column(1).to_pylist()):
-            whole = np.append(c.ids(t or ""), np.uint32(END_ID)).astype("<u4")
+        every = (x for group in grouped(b.column(1)) for x in c.ids(group))
+        for i, x in enumerate(every):
+            whole = np.append(x, np.uint32(END_ID)).astype("<u4")
             for k, s in enumerate(range(0, len(whole), capacity)):
                 part = whole[s : s + capacity]
                 at.append(i)
