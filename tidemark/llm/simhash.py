@@ -160,7 +160,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, reach: int = 3, shard_rows:
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
     total = distinct.count()
     sample = distinct.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    tree = spark.sparkContext.broadcast(VantageTree(sample, total, max(256, min(shard_rows, total // 96)), reach))
+    tree = spark.sparkContext.broadcast(VantageTree(sample, total, max(256, min(shard_rows, total // 24)), reach))
 
     def deal(b: pa.RecordBatch) -> pa.RecordBatch:
         fp = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
