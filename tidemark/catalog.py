@@ -239,12 +239,14 @@ SERIES_PLAN, SERIES = _series()
 
 
 def _series_query(name: str, column: str):
+    digits = 2 if name == "ts_cov" else 6  # products of prices and volumes are large
+
     def run(spark, d):
         out = SERIES_PLAN.apply(panel(spark, d), [column])
-        return rounded(out.select("symbol", "date", F.col(column).cast("double").alias("value")))
+        return rounded(out.select("symbol", "date", F.col(column).cast("double").alias("value")), digits)
 
     run.__name__, run.__doc__ = f"series_{name}", f"The function {name} on the daily panel."
-    query(rounded_sql(f"SELECT symbol, date, CAST({column} AS DOUBLE) AS value FROM ({SERIES_PLAN.sql(PANEL, [column])})", "value", "symbol date"))(run)
+    query(rounded_sql(f"SELECT symbol, date, CAST({column} AS DOUBLE) AS value FROM ({SERIES_PLAN.sql(PANEL, [column])})", "value", "symbol date", digits))(run)
 
 
 for _n, _c in SERIES.items():

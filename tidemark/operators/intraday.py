@@ -6,21 +6,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 LOOKBACK, LEAST_HISTORY, PERIOD = 20, 10, 14
-SESSION = Window.partitionBy("symbol", "date").orderBy("bar_end")
-SO_FAR = SESSION.rowsBetween(Window.unboundedPreceding, 0)
-WHOLE = Window.partitionBy("symbol", "date")
 
 
 def session_features(bars: DataFrame, minutes: int, ranges: list[int]) -> DataFrame:
     """VWAP and the one before, cumulative volume, minutes since the open, opening ranges. Three passes, one exchange."""
-    turnover = F.sum((F.col("high") + F.col("low") + F.col("close")) / 3.0 * F.col("volume")).over(SO_FAR)
-    volume = F.sum("volume").over(SO_FAR)
+    whole = Window.partitionBy("symbol", "date")
+    session = whole.orderBy("bar_end")
+    so_far = session.rowsBetween(Window.unboundedPreceding, 0)
+    turnover = F.sum((F.col("high") + F.col("low") + F.col("close")) / 3.0 * F.col("volume")).over(so_far)
+    volume = F.sum("volume").over(so_far)
     out = bars.withColumn("cum_volume", volume).withColumn("vwap", F.when(F.col("cum_volume") > 0, turnover / F.nullif("cum_volume", F.lit(0.0))))
-    out = out.withColumn("prev_vwap", F.lag("vwap").over(SESSION)).withColumn("minutes", (F.col("bar_end") - F.min("bar_end").over(WHOLE) + minutes).cast("int"))
+    out = out.withColumn("prev_vwap", F.lag("vwap").over(session)).withColumn("minutes", (F.col("bar_end") - F.min("bar_end").over(whole) + minutes).cast("int"))
     for w in ranges:
         inside = F.col("minutes") <= w
-        out = out.withColumn(f"or_high_{w}", F.max(F.when(inside, F.col("high"))).over(WHOLE)).withColumn(f"or_low_{w}", F.min(F.when(inside, F.col("low"))).over(WHOLE))
-    return out.withColumn("idx", F.row_number().over(SESSION) - 1)
+        out = out.withColumn(f"or_high_{w}", F.max(F.when(inside, F.col("high"))).over(whole)).withColumn(f"or_low_{w}", F.min(F.when(inside, F.col("low"))).over(whole))
+    return out.withColumn("idx", F.row_number().over(session) - 1)
 
 
 def relative_volume(features: DataFrame) -> DataFrame:
