@@ -30,9 +30,10 @@ WITHIN = 17
 
 def learn(sample: np.ndarray, bits: int = 64, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Mean and projection whose signs are the code: principal components, then the learned rotation."""
-    mean = sample.mean(0) if len(sample) else np.zeros(bits)
-    centred, dim = sample - mean, sample.shape[1]
+    dim = sample.shape[1]
     bits = min(bits, dim)
+    mean = sample.mean(0) if len(sample) else np.zeros(dim)
+    centred = sample - mean
     axes = np.linalg.eigh(centred.T @ centred)[1][:, ::-1][:, :bits] if len(sample) else np.eye(dim, bits)
     v = centred @ axes
     rotation = np.linalg.qr(np.random.default_rng(seed).normal(size=(bits, bits)))[0]

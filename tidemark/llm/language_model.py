@@ -19,15 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_batch, cut, ship, table
+from tidemark.llm.common import by_batch, ship, table
+from tidemark.llm.packing import grouped
 
 FREQUENT, SHARED, CLASSES, MEMBERS = 3072, 1024, 64, 64
 SIZE = FREQUENT + SHARED
-WIDTH, REACH, BATCH = 16, 2, 16_384
+WIDTH, REACH, BATCH, STEP, RATE = 16, 2, 16_384, 4096, 0.003
 SPREAD = 32  # sums of models are formed in so many parts before the last one
 assert CLASSES * MEMBERS == SIZE
 
@@ -48,10 +50,15 @@ class Words:
                 self.known[word] = i
         return i
 
-    def ids(self, text: str) -> np.ndarray:
-        words = text.lower().split()
-        get, known = self.id, self.known
-        return np.array([known[w] if w in known else get(w) for w in words], np.int32)
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of the words of each text; null is blank."""
+        lower = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+        split = pc.utf8_split_whitespace(lower)
+        coded = split.flatten().dictionary_encode()
+        id_of = np.array([self.id(w) if w else -1 for w in coded.dictionary.to_pylist()], np.int32)
+        every = id_of[coded.indices.to_numpy()] if len(id_of) else np.empty(0, np.int32)
+        edge = split.offsets.to_numpy() - split.offsets[0].as_py()
+        return [x[x >= 0] for x in (every[lo:hi] for lo, hi in zip(edge, edge[1:], strict=False))]
 
 
 def fresh(seed: int = 1) -> dict[str, np.ndarray]:
@@ -103,7 +110,7 @@ def context(model: dict, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
 def step(model: dict, ids: np.ndarray, at: np.ndarray, rate: float | None = None) -> np.ndarray:
     """Log-probability of the tokens at the positions; with a rate, a gradient step follows."""
     token = ids[at]
-    order = np.argsort(token % CLASSES, kind="stable")
+    order = np.argsort((token % CLASSES).astype(np.uint8), kind="stable")
     at, token = at[order], token[order]
     around = context(model, ids, at)
     seen = model["in"][around]
@@ -133,8 +140,11 @@ def step(model: dict, ids: np.ndarray, at: np.ndarray, rate: float | None = None
     if rate is not None:
         limit = np.abs(dh).max(1, keepdims=True)
         dh /= np.maximum(1.0, limit)
-        for k in range(2 * REACH):
-            np.add.at(model["in"], around[:, k], -rate * dh * model["at"][k])
+        index = around.ravel().astype(np.uint16)
+        by = np.argsort(index, kind="stable")
+        starts = np.flatnonzero(np.diff(index[by].astype(np.int32), prepend=-1))
+        change = (dh[:, None, :] * model["at"]).reshape(-1, WIDTH)[by]
+        model["in"][index[by[starts]]] -= rate * np.add.reduceat(change, starts, axis=0)
         model["at"] -= rate * np.einsum("bkd,bd->kd", seen, dh) / len(at)
     back = np.empty(len(at))
     back[order] = out
@@ -145,7 +155,7 @@ def positions(ids: np.ndarray) -> np.ndarray:
     return np.flatnonzero(ids != SIZE)
 
 
-def train_on(texts: Iterator[list[np.ndarray]], model: dict, rate: float = 0.05) -> int:
+def train_on(texts: Iterator[list[np.ndarray]], model: dict, rate: float = RATE) -> int:
     """Train the model in place; the number of tokens used, which is all of them."""
     n = 0
     for batch in texts:
@@ -153,8 +163,8 @@ def train_on(texts: Iterator[list[np.ndarray]], model: dict, rate: float = 0.05)
             continue
         ids = joined(batch)
         at = positions(ids)
-        for i in range(0, len(at), 1024):
-            step(model, ids, at[i : i + 1024], rate / 16)
+        for i in range(0, len(at), STEP):
+            step(model, ids, at[i : i + STEP], rate)
         n += len(at)
     return n
 
@@ -172,15 +182,16 @@ def log_likelihood(model: dict, texts: list[np.ndarray]) -> list[float]:
     return out.tolist()
 
 
-def _grouped(texts: list[str | None], words: Words, most: int = 1 << 17) -> Iterator[list[np.ndarray]]:
+def _grouped(texts: pa.Array, words: Words, most: int = 1 << 17) -> Iterator[list[np.ndarray]]:
     """Ids of texts, in groups of bounded size; a longer text is a group."""
     group, n = [], 0
-    for t in texts:
-        group.append(words.ids(t or ""))
-        n += len(group[-1])
-        if n >= most:
-            yield group
-            group, n = [], 0
+    for some in grouped(texts):
+        for x in words.ids(some):
+            group.append(x)
+            n += len(x)
+            if n >= most:
+                yield group
+                group, n = [], 0
     if group:
         yield group
 
@@ -201,7 +212,7 @@ def train(docs: DataFrame) -> tuple[list[str], dict[str, np.ndarray]]:
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, model = Words(shared.value), fresh()
-        n = sum(train_on(_grouped(b.column(0).to_pylist(), words), model) for b in batches)
+        n = sum(train_on(_grouped(b.column(0), words), model) for b in batches)
         if n:
             whole = flat(model).astype(np.float64) * n
             parts = [whole[i * width : (i + 1) * width] for i in range(blocks)]
@@ -232,7 +243,7 @@ def score(docs: DataFrame, frequent: list[str], model: dict[str, np.ndarray]) ->
             kept["m"] = (Words(shared.value[0]), shaped(shared.value[1]))
         words, net = kept["m"]
         n, ll = [], []
-        for group in _grouped(b.column(1).to_pylist(), words):
+        for group in _grouped(b.column(1), words):
             n += map(len, group)
             ll += log_likelihood(net, group)
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ll, pa.float64())], ["doc_id", "n_tokens", "log_likelihood"])

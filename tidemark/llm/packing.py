@@ -221,7 +221,7 @@ def sequences(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None
     twin = Window.partitionBy(*key).orderBy(*key)
     a, b = parts.withColumn("twin", F.row_number().over(twin)), packed.withColumn("twin", F.row_number().over(twin))
     same = [a[c].eqNullSafe(b[c]) for c in (*key, "twin")]
-    joined = b.join(a, same).select(b.sequence_id, b.offset, a.ids)
+    joined = b.join(a, same).select(b["sequence_id"], b["offset"], a["ids"])
     return joined.groupBy("sequence_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("offset", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 
