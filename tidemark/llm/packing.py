@@ -219,9 +219,9 @@ def sequences(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None
     packed = pack(parts.drop("ids"), capacity)
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     twin = Window.partitionBy(*key).orderBy(*key)
-    a, b = parts.withColumn("twin", F.row_number().over(twin)), packed.withColumn("twin", F.row_number().over(twin))
-    same = [a[c].eqNullSafe(b[c]) for c in (*key, "twin")]
-    joined = b.join(a, same).select(b["sequence_id"], b["offset"], a["ids"])
+    a = parts.withColumn("twin", F.row_number().over(twin)).select(*(F.col(c).alias(f"_{c}") for c in (*key, "twin")), "ids")
+    b = packed.withColumn("twin", F.row_number().over(twin))
+    joined = b.join(a, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (*key, "twin")]).select("sequence_id", "offset", "ids")
     return joined.groupBy("sequence_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("offset", "ids"))), lambda x: x["ids"])).alias("ids"))
 
 
