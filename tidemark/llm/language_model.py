@@ -29,7 +29,7 @@ from tidemark.llm.packing import grouped
 
 FREQUENT, SHARED, CLASSES, MEMBERS = 3072, 1024, 64, 64
 SIZE = FREQUENT + SHARED
-WIDTH, REACH, BATCH, STEP, RATE = 16, 2, 16_384, 4096, 0.003
+WIDTH, REACH, BATCH, STEP, RATE = 16, 2, 8192, 4096, 0.003
 SPREAD = 32  # sums of models are formed in so many parts before the last one
 assert CLASSES * MEMBERS == SIZE
 
@@ -95,11 +95,15 @@ def joined(texts: list[np.ndarray]) -> np.ndarray:
     return np.concatenate([x for t in texts for x in (margin, t)] + [margin])
 
 
-def softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
+def softmax(z: np.ndarray, whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities by row (only if whole) and the logarithm of the sum that divides them; z is used up."""
+    most = z.max(1, keepdims=True)
+    z -= most
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    return z
+    total = z.sum(1, keepdims=True)
+    if whole:
+        z /= total
+    return z, (most + np.log(total))[:, 0]
 
 
 def context(model: dict, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -117,8 +121,10 @@ def step(model: dict, ids: np.ndarray, at: np.ndarray, rate: float | None = None
     h = np.einsum("bkd,kd->bd", seen, model["at"])
     c, m = token % CLASSES, token // CLASSES
     rows = np.arange(len(at))
-    p = softmax(h @ model["class"].T + model["class_bias"])
-    out = np.log(np.maximum(p[rows, c], 1e-30))
+    z = h @ model["class"].T + model["class_bias"]
+    out = z[rows, c]
+    p, total = softmax(z, rate is not None)
+    out -= total
     bounds = np.searchsorted(c, np.arange(CLASSES + 1))
     if rate is not None:
         p[rows, c] -= 1
@@ -130,8 +136,10 @@ def step(model: dict, ids: np.ndarray, at: np.ndarray, rate: float | None = None
         if lo == hi:
             continue
         w, own = model["member"][k], np.arange(hi - lo)
-        q = softmax(h[lo:hi] @ w.T + model["member_bias"][k])
-        out[lo:hi] += np.log(np.maximum(q[own, m[lo:hi]], 1e-30))
+        z = h[lo:hi] @ w.T + model["member_bias"][k]
+        out[lo:hi] += z[own, m[lo:hi]]
+        q, total = softmax(z, rate is not None)
+        out[lo:hi] -= total
         if rate is not None:
             q[own, m[lo:hi]] -= 1
             dh[lo:hi] += q @ w
@@ -198,7 +206,14 @@ def _grouped(texts: pa.Array, words: Words, most: int = 1 << 17) -> Iterator[lis
 
 def vocabulary(docs: DataFrame) -> list[str]:
     """The most frequent words of all documents, ties in order of the words."""
-    counts = docs.select(F.explode(F.split(F.lower(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "\t\n\x0b\f\r", "     ")), " ")).alias("w")).where("w <> ''").groupBy("w").agg(F.count("*").alias("n"))
+
+    def some(b: pa.RecordBatch) -> pa.RecordBatch:
+        lower = pc.utf8_lower(pc.fill_null(b.column(0).cast(pa.large_string()), ""))
+        found = pc.value_counts(pc.utf8_split_whitespace(lower).flatten())
+        return pa.RecordBatch.from_arrays([found.field("values").cast(pa.string()), found.field("counts")], ["w", "k"])
+
+    partial = by_batch(docs.select(F.col("text").cast("string").alias("text")), some, "w string, k long").where("w <> ''")
+    counts = partial.groupBy("w").agg(F.sum("k").alias("n"))
     return [r.w for r in counts.orderBy(F.desc("n"), "w").limit(FREQUENT).collect()]
 
 
