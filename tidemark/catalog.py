@@ -422,7 +422,7 @@ def fold_days(spark, d):
     return walkforward.folds(walkforward.day_numbers(market.pseudo_trades(spark, d)))
 
 
-@query(f"{FOUND} SELECT fold, candidate, gate, round(val_sharpe, 6) + 0.0e0 AS val_sharpe FROM g")
+@query(f"{FOUND} SELECT fold, candidate, gate, round(val_sharpe + {off(6):.4e}, 6) + 0.0e0 AS val_sharpe FROM g")
 def fold_gates(spark, d):
     """The first gate each candidate fails in each fold."""
     return rounded(_gates(spark, d)[1])
@@ -434,7 +434,7 @@ def fold_rejections(spark, d):
     return walkforward.rejections(_gates(spark, d)[1])
 
 
-@query(f"{FOUND} SELECT fold, candidate, round(val_sharpe, 6) + 0.0e0 AS val_sharpe FROM ({CHOSEN})")
+@query(f"{FOUND} SELECT fold, candidate, round(val_sharpe + {off(6):.4e}, 6) + 0.0e0 AS val_sharpe FROM ({CHOSEN})")
 def fold_selection(spark, d):
     """The chosen candidate of each fold."""
     return rounded(walkforward.selected(_gates(spark, d)[1]))
