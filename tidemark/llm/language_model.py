@@ -29,7 +29,8 @@ from tidemark.llm.packing import grouped
 
 FREQUENT, SHARED, CLASSES, MEMBERS = 3072, 1024, 64, 64
 SIZE = FREQUENT + SHARED
-WIDTH, REACH, BATCH, STEP, RATE = 16, 2, 8192, 4096, 0.003
+WIDTH, REACH, BATCH, STEP, RATE = 16, 2, 4096, 4096, 0.003
+SAFE = 60.0  # logits within it need no shift in single precision
 SPREAD = 32  # sums of models are formed in so many parts before the last one
 assert CLASSES * MEMBERS == SIZE
 
@@ -67,8 +68,8 @@ def fresh(seed: int = 1) -> dict[str, np.ndarray]:
     return {
         "in": rng.normal(0, 0.3, (SIZE + 1, WIDTH)).astype(np.float32),  # the last row stands for the margin
         "at": np.ones((2 * REACH, WIDTH), np.float32) / (2 * REACH),
-        "class": np.zeros((CLASSES, WIDTH), np.float32), "class_bias": np.zeros(CLASSES, np.float32),
-        "member": np.zeros((CLASSES, MEMBERS, WIDTH), np.float32), "member_bias": np.zeros((CLASSES, MEMBERS), np.float32),
+        # the last column of both output layers is their bias
+        "class": np.zeros((CLASSES, WIDTH + 1), np.float32), "member": np.zeros((CLASSES, MEMBERS, WIDTH + 1), np.float32),
     }
 
 
@@ -77,7 +78,7 @@ def flat(model: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def fresh_shapes() -> dict[str, tuple[int, ...]]:
-    return {"in": (SIZE + 1, WIDTH), "at": (2 * REACH, WIDTH), "class": (CLASSES, WIDTH), "class_bias": (CLASSES,), "member": (CLASSES, MEMBERS, WIDTH), "member_bias": (CLASSES, MEMBERS)}
+    return {"in": (SIZE + 1, WIDTH), "at": (2 * REACH, WIDTH), "class": (CLASSES, WIDTH + 1), "member": (CLASSES, MEMBERS, WIDTH + 1)}
 
 
 def shaped(values: np.ndarray) -> dict[str, np.ndarray]:
@@ -90,70 +91,77 @@ def shaped(values: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def joined(texts: list[np.ndarray]) -> np.ndarray:
-    """Ids of texts one after the other with REACH margins around each."""
+    """Ids of texts one after the other with REACH margins around each; texts without tokens leave no trace."""
     margin = np.full(REACH, SIZE, np.int32)
-    return np.concatenate([x for t in texts for x in (margin, t)] + [margin])
+    return np.concatenate([x for t in texts if len(t) for x in (margin, t)] + [margin])
 
 
-def softmax(z: np.ndarray, whole: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Probabilities by row (only if whole) and the logarithm of the sum that divides them; z is used up."""
-    most = z.max(1, keepdims=True)
-    z -= most
-    np.exp(z, out=z)
-    total = z.sum(1, keepdims=True)
-    if whole:
-        z /= total
-    return z, (most + np.log(total))[:, 0]
-
+def exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Turn z into exponentials, each row up to a factor; their sums by row and the logarithm of the true sums.
 
-def context(model: dict, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Ids around each position: REACH before and REACH after."""
-    return np.stack([ids[at + o] for o in (*range(-REACH, 0), *range(1, REACH + 1))], 1)
+    Rows are shifted by their maximum only where a value could overflow or vanish."""
+    most = 0.0
+    if max(z.max(), -z.min()) > SAFE:
+        most = z.max(1)
+        z -= most[:, None]
+    np.exp(z, out=z)
+    total = z @ np.ones(z.shape[1], np.float32)
+    return total, np.log(total) + most
 
 
 def step(model: dict, ids: np.ndarray, at: np.ndarray, rate: float | None = None) -> np.ndarray:
-    """Log-probability of the tokens at the positions; with a rate, a gradient step follows."""
+    """Log-probability of the tokens at the increasing positions; with a rate, a gradient step follows.
+
+    Hidden layers and their gradients are formed for the whole stretch of ids that the positions span, by shifting it."""
+    n = at[-1] - at[0] + 1
+    near = ids[at[0] - REACH : at[-1] + REACH + 1]
+    shifts = [REACH + o for o in (*range(-REACH, 0), *range(1, REACH + 1))]
+    seen = model["in"][near]
+    hidden = np.zeros((n, WIDTH + 1), np.float32)
+    for weight, o in zip(model["at"], shifts, strict=True):
+        hidden[:, :WIDTH] += seen[o : o + n] * weight
+    hidden[:, WIDTH] = 1
     token = ids[at]
     order = np.argsort((token % CLASSES).astype(np.uint8), kind="stable")
-    at, token = at[order], token[order]
-    around = context(model, ids, at)
-    seen = model["in"][around]
-    h = np.einsum("bkd,kd->bd", seen, model["at"])
+    token, place = token[order], at[order] - at[0]
+    h = hidden[place]
     c, m = token % CLASSES, token // CLASSES
     rows = np.arange(len(at))
-    z = h @ model["class"].T + model["class_bias"]
-    out = z[rows, c]
-    p, total = softmax(z, rate is not None)
+    p = h @ model["class"].T
+    out = p[rows, c]
+    p_sum, total = exponentials(p)
+    out -= total
+    bounds = np.searchsorted(c, np.arange(CLASSES + 1)).tolist()
+    parts = [(k, lo, hi) for k, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)) if lo < hi]
+    q = np.empty((len(at), MEMBERS), np.float32)
+    for k, lo, hi in parts:
+        np.matmul(h[lo:hi], model["member"][k].T, out=q[lo:hi])
+    out += q[rows, m]
+    q_sum, total = exponentials(q)
     out -= total
-    bounds = np.searchsorted(c, np.arange(CLASSES + 1))
     if rate is not None:
+        p /= p_sum[:, None]
         p[rows, c] -= 1
+        q /= q_sum[:, None]
+        q[rows, m] -= 1
         dh = p @ model["class"]
+        for k, lo, hi in parts:
+            dh[lo:hi] += q[lo:hi] @ model["member"][k]
+            model["member"][k] -= rate * (q[lo:hi].T @ h[lo:hi])
         model["class"] -= rate * (p.T @ h)
-        model["class_bias"] -= rate * p.sum(0)
-    for k in range(CLASSES):
-        lo, hi = bounds[k], bounds[k + 1]
-        if lo == hi:
-            continue
-        w, own = model["member"][k], np.arange(hi - lo)
-        z = h[lo:hi] @ w.T + model["member_bias"][k]
-        out[lo:hi] += z[own, m[lo:hi]]
-        q, total = softmax(z, rate is not None)
-        out[lo:hi] -= total
-        if rate is not None:
-            q[own, m[lo:hi]] -= 1
-            dh[lo:hi] += q @ w
-            model["member"][k] = w - rate * (q.T @ h[lo:hi])
-            model["member_bias"][k] -= rate * q.sum(0)
-    if rate is not None:
-        limit = np.abs(dh).max(1, keepdims=True)
-        dh /= np.maximum(1.0, limit)
-        index = around.ravel().astype(np.uint16)
-        by = np.argsort(index, kind="stable")
-        starts = np.flatnonzero(np.diff(index[by].astype(np.int32), prepend=-1))
-        change = (dh[:, None, :] * model["at"]).reshape(-1, WIDTH)[by]
-        model["in"][index[by[starts]]] -= rate * np.add.reduceat(change, starts, axis=0)
-        model["at"] -= rate * np.einsum("bkd,bd->kd", seen, dh) / len(at)
+        dh = dh[:, :WIDTH]
+        spread = np.zeros((n, WIDTH), np.float32)
+        spread[place] = dh / np.maximum(1.0, np.abs(dh).max(1, keepdims=True))
+        change = np.zeros((len(near), WIDTH), np.float32)
+        turn = np.empty_like(model["at"])
+        for i, o in enumerate(shifts):
+            change[o : o + n] += spread * model["at"][i]
+            turn[i] = np.einsum("nd,nd->d", seen[o : o + n], spread)
+        by = np.argsort(near.astype(np.uint16), kind="stable")
+        own = near[by]
+        starts = np.flatnonzero(np.diff(own, prepend=-1))
+        model["in"][own[starts]] -= rate * np.add.reduceat(change[by], starts, axis=0)
+        model["at"] -= rate * turn / len(at)
     back = np.empty(len(at))
     back[order] = out
     return back
