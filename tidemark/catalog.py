@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import calendar as cal
 from tidemark.functions.series import Series
-from tidemark.operators import bars, ic, intraday, lifecycle, metrics, monitor, quality, walkforward
+from tidemark.operators import bars, filtering, ic, intraday, lifecycle, metrics, monitor, quality, walkforward
 from tidemark.operators.factors import FACTORS, factors, factors_sql
 from tidemark.plans.staged import Columns
 from tidemark.sources import market
@@ -515,3 +515,46 @@ def first_by_key(spark, d):
     w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_shipdate", "l_partkey", "l_suppkey")
     rows = market.table(spark, d, "lineitem").withColumn("k", F.row_number().over(w)).where("k = 1")
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+# ---------------------------------------------------------------- filter of trades
+
+PRICED = """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice / l_quantity AS e, l_extendedprice / l_quantity * (1 - l_discount) AS s, l_extendedprice / l_quantity * (1 + l_tax) AS t,
+  570 + l_partkey % 500 AS m, CASE WHEN l_extendedprice * (l_discount - l_tax) - (l_extendedprice + (l_extendedprice + l_extendedprice * (l_discount - l_tax))) * 2.5e0 / 10000.0e0 > 0 THEN 1.0e0 ELSE 0.0e0 END AS label FROM lineitem"""
+FILTER_SQL = f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (e - s) / e AS stop_distance, (t - e) / e AS target_distance, CASE WHEN e - s > 1e-9 THEN (t - e) / (e - s) ELSE 0.0e0 END AS reward_ratio,
+  least(1.0e0, (m - 570) / 390.0e0) AS session_time, label FROM ({PRICED})"""
+
+
+def priced_trades(spark, d) -> DataFrame:
+    """Line items as trades with prices, features and label."""
+    gross, price = F.col("l_extendedprice") * (F.col("l_discount") - F.col("l_tax")), F.col("l_extendedprice") / F.col("l_quantity")
+    rows = market.table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.to_date("l_shipdate").alias("exit_date"), price.alias("entry_price"), (price * (1 - F.col("l_discount"))).alias("stop_price"),
+        (price * (1 + F.col("l_tax"))).alias("target_price"), (570 + F.col("l_partkey") % 500).alias("entry_time"), gross.alias("gross_pnl"), F.col("l_extendedprice").alias("entry_notional"), (F.col("l_extendedprice") + gross).alias("exit_notional"),
+    )
+    return filtering.labelled(filtering.features(rows))
+
+
+@query(rounded_sql(FILTER_SQL, "stop_distance target_distance reward_ratio session_time label", "l_orderkey l_linenumber l_partkey l_suppkey"))
+def filter_features(spark, d):
+    """Features and labels of trades."""
+    return rounded(priced_trades(spark, d).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *filtering.FEATURES, "label"))
+
+
+@query(rounded_sql(f"SELECT l_suppkey AS candidate, -avg(label * ln(greatest(1e-7, least(1 - 1e-7, stop_distance * 10))) + (1 - label) * ln(1 - greatest(1e-7, least(1 - 1e-7, stop_distance * 10)))) AS loss FROM ({FILTER_SQL}) GROUP BY l_suppkey", "loss", "candidate"))
+def filter_log_loss(spark, d):
+    """Log loss by candidate of a probability that grows with the distance of the stop."""
+    scored = priced_trades(spark, d).withColumn("p", F.col("stop_distance") * 10)
+    return rounded(scored.groupBy(F.col("l_suppkey").alias("candidate")).agg(filtering.log_loss("p").alias("loss")))
+
+
+@query()
+def filtered_trades(spark, d):
+    """A classifier learns from the first four fifths of the days; of the trades after them it keeps likely wins."""
+    rows = priced_trades(spark, d)
+    days = walkforward.day_numbers(rows)
+    edge = days.where(F.col("n") == F.lit(days.count() * 4 // 5)).first()
+    if edge is None:
+        return filtering.scored(rows, None)
+    train = rows.where(F.col("exit_date") < F.date_sub(F.lit(edge.date), 25))
+    return filtering.filtered(train, rows.where(F.col("exit_date") >= F.lit(edge.date)), rounds=20)

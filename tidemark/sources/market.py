@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import gzip
+import zlib
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,3 +87,35 @@ def read_trades(spark: SparkSession, path: str, key: tuple[str, ...] = ("candida
 def merge_trades(old: DataFrame, new: DataFrame, key: tuple[str, ...] = ("candidate_id", "symbol", "entry_time")) -> DataFrame:
     """Old trades and those new ones whose key isn't among them."""
     return old.unionByName(new.join(old.select(*key), list(key), "left_anti").dropDuplicates(list(key)))
+
+
+def minute_file_state(spark: SparkSession, path: str) -> DataFrame:
+    """(path, n_rows, first, last, problem) of gzip minute files: readable, right header, times that rise, and rows at all.
+
+    A file is one row of the plan and tested in one task; lines are counted from 1, the header included.
+    """
+    header = ",".join(MINUTE_SCHEMA.names)
+
+    def state(content: bytes) -> tuple:
+        try:
+            lines = gzip.decompress(content).decode().splitlines()
+        except (OSError, EOFError, ValueError, zlib.error) as e:
+            return 0, None, None, f"gzip: {type(e).__name__}"
+        if not lines or lines[0] != header:
+            return 0, None, None, "header"
+        kept = [(n, line.partition(",")[0]) for n, line in enumerate(lines[1:], 2) if line]
+        if not kept:
+            return 0, None, None, "no rows"
+        number, text = zip(*kept, strict=True)
+        times = pd.to_datetime(pd.Series(text), utc=True, errors="coerce", format="ISO8601")
+        wrong = (times.isna() | (times.diff() <= pd.Timedelta(0))).to_numpy()
+        n = int(wrong.argmax()) if wrong.any() else len(kept)
+        why = None if n == len(kept) else f"line {number[n]}: " + ("no time" if pd.isna(times[n]) else "repeated time" if times[n] == times[n - 1] else "earlier time")
+        return n, text[0] if n else None, text[n - 1] if n else None, why
+
+    def run(batches):
+        for b in batches:
+            yield pd.DataFrame([(p, *state(c)) for p, c in zip(b["path"], b["content"], strict=True)], columns=["path", "n_rows", "first", "last", "problem"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(run, "path string, n_rows long, first string, last string, problem string")
