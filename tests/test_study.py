@@ -9,8 +9,8 @@ import math
 
 import pytest
 
-from tidemark.operators import documents, filtering, lifecycle
-from tidemark.sources import market, store
+from tidemark.operators import documents, filtering, lifecycle, monitor
+from tidemark.sources import feed, market, store
 
 H = "a" * 64
 BPS = {"zero_bps_per_side": 0.0, "baseline_bps_per_side": 2.5, "double_bps_per_side": 5.0}
@@ -150,3 +150,60 @@ def test_search_stops_bad_trials():
     assert any(t["stopped"] for t in log) and not any(t["stopped"] for t in log[: filtering.START_UP]) and len(seen) < 100
     for name, (low, high, _) in filtering.RANGES.items():
         assert all(low <= t["setting"][name] <= high for t in log)
+
+
+def test_feed(spark, tmp_path):
+    assert feed.months(dt.date(2024, 1, 15), dt.date(2024, 3, 5)) == [(dt.date(2024, 1, 1), dt.date(2024, 1, 31)), (dt.date(2024, 2, 1), dt.date(2024, 2, 29)), (dt.date(2024, 3, 1), dt.date(2024, 3, 5))]
+
+    def fetch(symbol, first, last):
+        mark = tmp_path / f"{symbol}{first}"
+        if not mark.exists():  # every first try fails
+            mark.touch()
+            raise ConnectionError
+        return [(dt.datetime(first.year, first.month, d), 1.0, 1.0, 1.0, 1.0, float(d)) for d in (1, last.day)]
+
+    feed.register(spark, fetch, "test_feed", pause=0.01)
+    rows = spark.read.format("test_feed").options(symbols="B, A", start="2024-01-15", end="2024-02-05").load()
+    got = [(r.symbol, r.ts.month, r.volume) for r in rows.orderBy("symbol", "ts").collect()]
+    assert got == [(s, m, v) for s in "AB" for m, v in ((1, 1.0), (1, 31.0), (2, 1.0), (2, 5.0))]
+    old = spark.createDataFrame([("A", 1, 0.0)], "symbol string, ts int, close double")
+    new = spark.createDataFrame([("A", 1, 9.0), ("A", 2, 1.0), ("A", 2, 1.0)], "symbol string, ts int, close double")
+    assert sorted(map(tuple, feed.extend(old, new).collect())) == [("A", 1, 0.0), ("A", 2, 1.0)]
+
+
+def test_trade_shards(spark, tmp_path):
+    def put(k, total, grid, trades, meta=True):
+        folder = tmp_path / f"shard{k}of{total}"
+        folder.mkdir(exist_ok=True)
+        (folder / "trades_0000.json").write_text(json.dumps(trades))
+        if meta:
+            (folder / "meta.json").write_text(json.dumps({"grid_spec_hash": grid, "candidate_shards": total, "candidate_shard": k}))
+
+    def trade(t):
+        return {"candidate_id": "c", "symbol": "A", "entry_time": t}
+
+    put(0, 2, "g", [trade(1), trade(2)])
+    with pytest.raises(ValueError, match="no meta"):
+        put(1, 2, "g", [trade(3)], meta=False)
+        market.read_trade_shards(spark, str(tmp_path))
+    put(1, 2, "g", [trade(3)])
+    assert market.read_trade_shards(spark, str(tmp_path)).count() == 3
+    for change, why in ((("h", [trade(3)], 1), "differ"), (("g", [trade(2)], 1), "duplicate")):
+        put(1, 2, change[0], change[1])
+        with pytest.raises(ValueError, match=why):
+            market.read_trade_shards(spark, str(tmp_path))
+    put(1, 2, "g", [trade(3)])
+    put(3, 4, "g", [trade(4)])
+    with pytest.raises(ValueError, match="complete"):
+        market.read_trade_shards(spark, str(tmp_path))
+
+
+def test_verdict_and_panel(spark, tmp_path):
+    rows = [("a", "sharpe", 5, 0.1, 0.01), ("b", "sharpe", 5, -0.1, 0.01), ("c", "sharpe", 5, 0.1, 0.5), ("c", "mean_net_bps", 5, None, None), ("d", "sharpe", 1, 0.1, 0.01)]
+    tests = spark.createDataFrame(rows, "run string, metric string, n int, mean_diff double, p_value double")
+    got = {r.run: r.verdict for r in monitor.comparison_verdict(tests, ["run"]).collect()}
+    assert got == {"a": "significantly_better", "b": "significantly_worse", "c": "no_significant_improvement", "d": "insufficient_data"}
+    bars = spark.createDataFrame([("B", dt.date(2024, 1, 2), *[1.0] * 5), ("A", dt.date(2024, 1, 2), *[2.0] * 5)], "symbol string, date date, open double, high double, low double, close double, volume double")
+    market.export_panel(bars.coalesce(1), str(tmp_path / "panel"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "panel"))
+    assert back.columns == ["datetime", "instrument", "$open", "$high", "$low", "$close", "$volume"] and back.count() == 2

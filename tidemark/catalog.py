@@ -16,7 +16,7 @@ from tidemark.functions.series import Series
 from tidemark.operators import bars, filtering, ic, intraday, lifecycle, metrics, monitor, quality, walkforward
 from tidemark.operators.factors import FACTORS, factors, factors_sql
 from tidemark.plans.staged import Columns
-from tidemark.sources import market
+from tidemark.sources import feed, market
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -558,3 +558,13 @@ def filtered_trades(spark, d):
         return filtering.scored(rows, None)
     train = rows.where(F.col("exit_date") < F.date_sub(F.lit(edge.date), 25))
     return filtering.filtered(train, rows.where(F.col("exit_date") >= F.lit(edge.date)), rounds=20)
+
+
+# ---------------------------------------------------------------- requests
+
+@query("""SELECT c AS customer, CAST(m AS DATE) AS first, least(CAST(m + INTERVAL 1 MONTH - INTERVAL 1 DAY AS DATE), b) AS last
+  FROM (SELECT c, b, unnest(generate_series(date_trunc('month', a), CAST(b AS TIMESTAMP), INTERVAL 1 MONTH)) AS m FROM (SELECT o_custkey AS c, CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS b FROM orders GROUP BY o_custkey))""")
+def month_ranges(spark, d):
+    """The months between each customer's first and last order, whole but for the last one."""
+    span = market.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("customer")).agg(F.to_date(F.min("o_orderdate")).alias("_a"), F.to_date(F.max("o_orderdate")).alias("_b"))
+    return feed.month_ranges(span, F.col("_a"), F.col("_b")).select("customer", "first", "last")

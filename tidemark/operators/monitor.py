@@ -34,3 +34,13 @@ def metadata_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """Fields (name, value) that differ between two runs or are in one only."""
     joined = a.select("name", F.col("value").alias("a")).join(b.select("name", F.col("value").alias("b")), "name", "full")
     return joined.where("NOT (a <=> b)")
+
+
+def comparison_verdict(tests: DataFrame, keys: list[str], alpha: float = 0.05) -> DataFrame:
+    """What paired tests (metric, n, mean_diff, p_value) of sharpe and mean_net_bps say of a variant, by key."""
+    sure = F.col("p_value") < alpha
+    better = F.bool_or(F.col("metric").isin("sharpe", "mean_net_bps") & sure & (F.col("mean_diff") > 0))
+    worse = F.bool_or((F.col("metric") == "sharpe") & sure & (F.col("mean_diff") < 0))
+    out = tests.groupBy(*keys).agg(F.max("n").alias("_n"), better.alias("_better"), worse.alias("_worse"))
+    verdict = F.when(F.col("_n") < 2, "insufficient_data").when(F.col("_better"), "significantly_better").when(F.col("_worse"), "significantly_worse").otherwise("no_significant_improvement")
+    return out.select(*keys, verdict.alias("verdict"))

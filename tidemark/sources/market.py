@@ -119,3 +119,31 @@ def minute_file_state(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(run, "path string, n_rows long, first string, last string, problem string")
+
+
+def read_trade_shards(spark: SparkSession, folder: str, key: tuple[str, ...] = ("candidate_id", "symbol", "entry_time")) -> DataFrame:
+    """Trades of all shards `shard*/trades_*.json` (arrays) with their `meta.json`.
+
+    Errors: a shard without meta, grids that differ, a set of shards that isn't complete, a repeated key.
+    """
+    shard = F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1).alias("_shard")
+    read = spark.read.option("multiLine", True)
+    metas = read.json(f"{folder}/shard*/meta.json").select("grid_spec_hash", "candidate_shards", "candidate_shard", shard)
+    held = metas.collect()  # one row per shard
+    trades = read.json(f"{folder}/shard*/trades_*.json").select("*", shard)
+    if lacking := trades.select("_shard").distinct().join(metas.select("_shard"), "_shard", "left_anti").collect():
+        raise ValueError(f"no meta in {', '.join(sorted(r[0] for r in lacking))}")
+    if len({m.grid_spec_hash for m in held}) != 1:
+        raise ValueError("the shards' grids differ")
+    if len(held) > 1 and ({m.candidate_shards for m in held} != {len(held)} or sorted(m.candidate_shard for m in held) != list(range(len(held)))):
+        raise ValueError("the set of shards is not complete")
+    twice = trades.groupBy(*key).count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"duplicate trade: {twice[0][:-1]}")
+    return trades.drop("_shard")
+
+
+def export_panel(bars: DataFrame, path: str) -> None:
+    """A panel as CSV by (datetime, instrument) with $-columns, in order of both; an existing target is an error."""
+    columns = [F.col("date").alias("datetime"), F.col("symbol").alias("instrument"), *(F.col(c).alias(f"${c}") for c in ("open", "high", "low", "close", "volume"))]
+    bars.select(*columns).orderBy("datetime", "instrument").write.mode("errorifexists").option("header", True).csv(path)
