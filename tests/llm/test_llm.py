@@ -229,6 +229,30 @@ def test_embeddings(spark, none):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>")).collect() == []
 
 
+def test_embeddings_meet_at_any_total():
+    rng = np.random.default_rng(9)
+    x = embeddings.unit(rng.normal(size=(6000, 64)))
+    side = rng.normal(size=x.shape)
+    side = embeddings.unit(side - (side * x).sum(1, keepdims=True) * x)
+    y = 0.9 * x + np.sqrt(1 - 0.81) * side
+    learned = [embeddings.learn(x[:3000], 64, 5 + k) for k in range(4)]
+    a, b = embeddings.codes(x, learned), embeddings.codes(y, learned)
+    for total in (2_000, 20_000, 50_000, 200_000, 10_000_000):  # the last two force bands of 13 and 16 bits
+        assert embeddings.met(a, b, embeddings.bands(total, 64)).mean() >= 0.98
+
+
+def test_embeddings_of_wide_bands(spark):
+    rng = np.random.default_rng(10)
+    base = embeddings.unit(rng.normal(size=(1500, 64)))
+    side = rng.normal(size=base.shape)
+    side = embeddings.unit(side - (side * base).sum(1, keepdims=True) * base)
+    x = np.concatenate([base, 0.901 * base + np.sqrt(1 - 0.901**2) * side])
+    links = (x @ x.T >= 0.9).sum() - len(x)
+    data = spark.createDataFrame([(k, e.tolist()) for k, e in enumerate(x)], "vec_id long, embedding array<double>")
+    got = embeddings.near_duplicates(data, bucket_rows=0.01).toPandas()  # bands of 16 bits, as for millions of vectors
+    assert 0.98 * links <= got["n_links"].sum() <= links
+
+
 def test_weak_label(spark, none):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

@@ -1,7 +1,8 @@
 """Near-duplicate vectors by iterative quantisation and multi-index Hamming tables.
 
 A rotation of the principal components is learned on a bounded sample (SAMPLE vectors) so that the signs make balanced
-codes. A code is cut into as many bands as keep a bucket near `bucket_rows` vectors. In each band's table a vector is
+codes. A code is cut into bands that keep a bucket near `bucket_rows` vectors; as wider bands meet less often, further
+rotations give further codes until a pair at cosine 0.9 meets with probability MEETS. In each band's table a vector is
 at home in the bucket of its band; if a band bit is 0 it also visits the bucket with that bit set, so any two vectors
 that differ in at most one bit of a band meet in exactly one bucket of that table. A pair is counted in the first
 table in which it meets, after its cosine is computed from the original vectors in double precision. Equal vectors are
@@ -26,6 +27,8 @@ from tidemark.llm.components import merge
 SAMPLE, ROUNDS, TASK_ROWS = 8192, 30, 50_000
 #: Of 64 bits: vectors at cosine 0.9 differ in 9 on average, with a deviation under 3.
 WITHIN = 17
+#: Chance that a bit differs at cosine 0.9 (its angle over pi), and that such a pair has a table to meet in, at any total.
+BIT, MEETS = 0.1436, 0.99
 
 
 def learn(sample: np.ndarray, bits: int = 64, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -43,27 +46,36 @@ def learn(sample: np.ndarray, bits: int = 64, seed: int = 5) -> tuple[np.ndarray
     return mean, axes @ rotation
 
 
-def codes(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
-    """64-bit codes of unit vectors."""
-    on = np.zeros((len(x), 64), np.uint8)
-    on[:, : projection.shape[1]] = (x - mean) @ projection >= 0
-    return np.packbits(on, axis=1).view(">u8")[:, 0].astype(np.uint64)
+def codes(x: np.ndarray, learned: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """64-bit codes of unit vectors, a column for each rotation."""
+    out = np.empty((len(x), len(learned)), np.uint64)
+    for k, (mean, projection) in enumerate(learned):
+        on = np.zeros((len(x), 64), np.uint8)
+        on[:, : projection.shape[1]] = (x - mean) @ projection >= 0
+        out[:, k] = np.packbits(on, axis=1).view(">u8")[:, 0]
+    return out
+
+
+def bands(total: int, bits: int, bucket_rows: int = 32) -> list[tuple[int, int, int]]:
+    """(rotation, shift, width) of each band."""
+    width = min(bits, int(np.clip(np.ceil(np.log2(max(2, total) / bucket_rows)), 4, 16)))
+    apart = 1 - (1 - BIT) ** width - width * BIT * (1 - BIT) ** (width - 1)
+    each = bits // width
+    n = max(each, int(np.ceil(np.log(1 - MEETS) / np.log(apart))) if apart > 1e-9 else 1)
+    return [(k // each, 64 - width * (k % each + 1), width) for k in range(n)]
 
 
-def bands(total: int, bits: int, bucket_rows: int = 32) -> list[tuple[int, int]]:
-    """(shift, width) of each band of the code."""
-    width = int(np.clip(np.ceil(np.log2(max(2, total) / bucket_rows)), 4, 16))
-    n = max(4, bits // max(width, 1))
-    edges = np.linspace(0, bits, min(n, bits) + 1).astype(int)
-    return [(64 - int(b), int(b - a)) for a, b in zip(edges, edges[1:], strict=False)]
+def in_band(code: np.ndarray, part: tuple[int, int, int]) -> np.ndarray:
+    rotation, shift, width = part
+    return (code[:, rotation] >> np.uint64(shift)) & np.uint64((1 << width) - 1)
 
 
-def met(a: np.ndarray, b: np.ndarray, parts: list[tuple[int, int]]) -> np.ndarray:
+def met(a: np.ndarray, b: np.ndarray, parts: list[tuple[int, int, int]]) -> np.ndarray:
     """Whether two codes meet in one of the tables."""
     x = a ^ b
-    out = np.zeros(x.shape, bool)
-    for shift, width in parts:
-        out |= np.bitwise_count((x >> np.uint64(shift)) & np.uint64((1 << width) - 1)) <= 1
+    out = np.zeros(len(x), bool)
+    for part in parts:
+        out |= np.bitwise_count(in_band(x, part)) <= 1
     return out
 
 
@@ -82,7 +94,7 @@ def candidates(at_home: np.ndarray, code: np.ndarray, earlier: list, within: int
     step = max(1, (1 << 20) // max(len(code), 1))
     for i in range(0, len(home), step):
         own = home[i : i + step]
-        a, b = np.nonzero(np.bitwise_count(code[own][:, None] ^ code[None, :]) <= within)
+        a, b = np.nonzero(np.bitwise_count(code[own, 0][:, None] ^ code[None, :, 0]) <= within)
         a = own[a]
         ok = ~at_home[b] | (a < b)  # two at home meet once, two visitors never
         if side is not None:
@@ -100,7 +112,8 @@ def segments(table: pa.Table):
     key, lo, hi, rep = (table.column(c).to_numpy() for c in ("key", "lo", "hi", "rep"))
     order = np.lexsort((rep, hi, lo, key))
     edge = np.flatnonzero((np.diff(key[order]) != 0) | (np.diff(lo[order]) != 0) | (np.diff(hi[order]) != 0)) + 1
-    home, code, block = table.column("home").to_numpy(), table.column("code").to_numpy().view(np.uint64), table.column("b").to_numpy()
+    home, block = table.column("home").to_numpy(), table.column("b").to_numpy()
+    code = np.stack([table.column(c).to_numpy() for c in table.column_names if c.startswith("code")], 1).view(np.uint64)
     for at in np.split(order, edge):
         if len(at) > 1:
             one = at[0]
@@ -136,43 +149,45 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, bucket_rows: int = 3
     total = distinct.count()
     sample = distinct.select("v").orderBy(F.xxhash64("v")).limit(SAMPLE).toPandas()["v"]
     sample = unit(np.stack(sample.to_numpy())) if len(sample) else np.zeros((0, dim))
-    learned = learn(sample, 64)
     parts = bands(total, min(64, dim), bucket_rows)
-    model = spark.sparkContext.broadcast((*learned, parts))
+    learned = [learn(sample, 64, 5 + k) for k in range(parts[-1][0] + 1)]
+    model = spark.sparkContext.broadcast((learned, parts))
+    names = [f"code{k}" for k in range(len(learned))]
+    longs = ", ".join(f"{c} long" for c in names)
 
     def deal(b: pa.RecordBatch) -> pa.RecordBatch:
-        mean, projection, parts = model.value
+        learned, parts = model.value
         x = unit(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
-        code = codes(x, mean, projection)
+        code = codes(x, learned)
         at, key, home = [], [], []
         every = np.arange(len(x))
-        for t, (shift, width) in enumerate(parts):
-            band = (code >> np.uint64(shift)) & np.uint64((1 << width) - 1)
+        for t, part in enumerate(parts):
+            band = in_band(code, part)
             at.append(every)
             key.append(band.astype(np.int64) * 64 + t)
             home.append(np.ones(len(x), bool))
-            for bit in range(width):
+            for bit in range(part[2]):
                 off = np.flatnonzero(~(band >> np.uint64(bit)) & np.uint64(1))
                 at.append(off)
                 key.append((band[off] | np.uint64(1 << bit)).astype(np.int64) * 64 + t)
                 home.append(np.zeros(len(off), bool))
         at, key, home = map(np.concatenate, (at, key, home))
-        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(key), pa.array(home), pa.array(code[at].view(np.int64)), b.column(2).take(pa.array(at))], ["rep", "key", "home", "code", "weight"])
+        return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(key), pa.array(home), *map(pa.array, code[at].view(np.int64).T.copy()), b.column(2).take(pa.array(at))], ["rep", "key", "home", *names, "weight"])
 
-    dealt = cut(by_batch(distinct.select("rep", "v", "weight"), deal, "rep long, key long, home boolean, code long, weight long"))
+    dealt = cut(by_batch(distinct.select("rep", "v", "weight"), deal, f"rep long, key long, home boolean, {longs}, weight long"))
     loads = cut(dealt.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("int")).alias("h")).where("h > 0 AND n > 1"))
-    n_tasks = max(64, total * len(parts) * (2 + parts[0][1] // 2) // TASK_ROWS)
+    n_tasks = max(64, total * len(parts) * (2 + parts[0][2] // 2) // TASK_ROWS)
     # a row of a bucket of k blocks goes to the k tasks that its block takes part in
     loads = loads.select("key", F.ceil(F.col("n") / F.lit(bucket_cap)).cast("int").alias("k"))
     placed = dealt.join(loads, "key").withColumn("b", F.pmod(F.xxhash64("rep"), F.col("k").cast("long")).cast("int"))
-    placed = placed.select("rep", "key", "home", "code", "weight", "b", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
-    placed = placed.select("rep", "key", "home", "code", "weight", "b", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"))
+    placed = placed.select("rep", "key", "home", *names, "weight", "b", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
+    placed = placed.select("rep", "key", "home", *names, "weight", "b", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"))
     task = F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(n_tasks)).alias("task")
 
     def sift(group: pa.Table) -> pa.Table:
         """Rows with a partner whose code is near enough."""
         group = group.combine_chunks()
-        _, _, parts = model.value
+        _, parts = model.value
         used = np.zeros(group.num_rows, bool)
         for t, at, home, code, side in segments(group):
             for a, b in candidates(home, code, parts[:t], WITHIN, side):
@@ -181,7 +196,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, bucket_rows: int = 3
 
     def link(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        _, _, parts = model.value
+        _, parts = model.value
         rep, weight = group.column("rep").to_numpy(), group.column("weight").to_numpy()
         x = unit(group.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
         out = [(np.empty(0, np.int64),) * 3]
@@ -199,7 +214,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, bucket_rows: int = 3
             out.append((rep[at[own]], links[own], rep[at[label[own]]]))
         return pa.table(dict(zip(("rep", "links", "part"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
-    columns = "rep long, key long, home boolean, code long, weight long, b int, lo int, hi int"
+    columns = f"rep long, key long, home boolean, {longs}, weight long, b int, lo int, hi int"
     near = placed.select("*", task).drop("o").groupBy("task").applyInArrow(sift, columns)
     near = cut(near).join(distinct.select("rep", "v"), "rep").select("*", task)
     near = near.groupBy("task").applyInArrow(link, "rep long, links long, part long")
