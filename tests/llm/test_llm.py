@@ -14,7 +14,7 @@ import tiktoken
 import xxhash
 from tokenizers import Tokenizer
 
-from tidemark.llm import bpe, embeddings, html_text, language_model, packing, quality_rules, sharding, simhash, token_counts, weak_label
+from tidemark.llm import bpe, embeddings, html_text, language_model, packing, quality_rules, sharding, similar, simhash, token_counts, weak_label
 
 SCHEMA = "doc_id long, text string, component_id long, kept boolean, size long, _words string"
 
@@ -280,3 +280,41 @@ def test_pipeline(spark):
     found = simhash.near_duplicates(second).collect()
     assert sorted(r.doc_id for r in third.select("doc_id").collect()) == sorted({r.component_id for r in found})
     assert c.run(spark, sf).select("doc_id").distinct().count() == third.count()
+
+
+def near_copies():
+    """Texts with copies of every similarity about 0.8, by words changed here and there."""
+    rng = np.random.default_rng(12)
+    words = np.array([f"w{k}" for k in range(3000)])
+    out = [None, " ", "one two", "One  TWO"]
+    for n in rng.integers(60, 500, 60):
+        own = rng.choice(words, n)
+        out.append(" ".join(own))
+        for share in (0.01, 0.02, 0.025, 0.03):
+            changed = own.copy()
+            at = rng.choice(n, max(1, int(share * n)), replace=False)
+            changed[at] = rng.choice(words, len(at))
+            out.append(" ".join(changed))
+    return out
+
+
+def five_word_components(texts):
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    group = list(range(len(sets)))
+    linked = [[j for j, y in enumerate(sets) if 5 * len(x & y) >= 4 * len(x | y)] for x in sets]
+    while (new := [min(group[j] for j in links) for links in linked]) != group:
+        group = new
+    return group, sum(map(len, linked))
+
+
+def test_near_duplicates_by_five_words(spark):
+    import corpus_pipeline as c
+
+    texts = near_copies()
+    group, links = five_word_components(texts)
+    assert links > 2 * len(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert sorted(r.doc_id for r in c.near_duplicates_stage(spark, docs, "").collect()) == sorted(set(group))
