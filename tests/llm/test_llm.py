@@ -318,3 +318,20 @@ def test_near_duplicates_by_five_words(spark):
     assert links > 2 * len(texts)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
     assert sorted(r.doc_id for r in c.near_duplicates_stage(spark, docs, "").collect()) == sorted(set(group))
+
+
+def test_near_duplicates_without_good_ids(spark):
+    import corpus_pipeline as c
+
+    texts = [t for t in near_copies() if t]
+    group, _ = five_word_components(texts)
+    ids = [None if k % 3 == 0 else 7 if k % 3 == 1 else k for k in range(len(texts))]
+    docs = spark.createDataFrame([*zip(ids, texts, strict=True)] + [(None, texts[0])] * 3 + [(7, texts[1])], "doc_id long, text string").repartition(5)
+    kept = c.near_duplicates_stage(spark, docs, "").collect()
+    by = {t: g for t, g in zip(texts, group, strict=True)}
+    assert len(kept) == len(set(group)) == len({by[r.text] for r in kept})
+    for r in kept:
+        own = [i for i, g in zip(ids, group, strict=True) if g == by[r.text] and i is not None]
+        assert r.doc_id == min(own, default=None)
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert c.near_duplicates_stage(spark, empty, "").collect() == []
