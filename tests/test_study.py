@@ -207,3 +207,12 @@ def test_verdict_and_panel(spark, tmp_path):
     market.export_panel(bars.coalesce(1), str(tmp_path / "panel"))
     back = spark.read.option("header", True).csv(str(tmp_path / "panel"))
     assert back.columns == ["datetime", "instrument", "$open", "$high", "$low", "$close", "$volume"] and back.count() == 2
+
+
+def test_filtered_trades_learns_all_rounds(spark, monkeypatch):
+    from tidemark import catalog
+
+    seen = []
+    monkeypatch.setattr(filtering, "fit", lambda train, parameters=None, rounds=filtering.ROUNDS: seen.append(rounds))
+    catalog.QUERIES["filtered_trades"](spark, "/root/testdata/sf0.001")
+    assert seen == [200]

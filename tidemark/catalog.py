@@ -557,7 +557,7 @@ def filtered_trades(spark, d):
     if edge is None:
         return filtering.scored(rows, None)
     train = rows.where(F.col("exit_date") < F.date_sub(F.lit(edge.date), 25))
-    return filtering.filtered(train, rows.where(F.col("exit_date") >= F.lit(edge.date)), rounds=20)
+    return filtering.filtered(train, rows.where(F.col("exit_date") >= F.lit(edge.date)))
 
 
 # ---------------------------------------------------------------- requests
