@@ -8,6 +8,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import regex
 import tiktoken
@@ -89,6 +90,17 @@ def test_vantage_tree_finds_all_links():
     assert set(parts) == {int(v) for m, _ in dense for v in m}
 
 
+def test_vantage_tree_splits_real_fingerprints():
+    found = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"]).column("text").to_pylist()
+    points = np.unique(np.array([simhash.fingerprint(t) for t in found], np.int64)).view(np.uint64)
+    assert simhash.VantageTree(points, len(points), simhash.SHARD_ROWS).depth >= 1
+    for total in (15_000_000, 1_500_000_000):
+        tree = simhash.VantageTree(points, total, max(simhash.SHARD_ROWS, total // simhash.LEAVES))
+        at, _ = tree.route(points)
+        assert len(at) < 25 * len(points) and tree.depth > 20
+    assert simhash.split(points, 3, np.random.default_rng(1), simhash.Costs(points, simhash.LEAF, len(points), 3, np.random.default_rng(1)))
+
+
 def test_token_counts(docs, none):
     path = public_tokenizers.path(token_counts.VOCABULARY)
     vocabulary = json.load(open(path, encoding="utf-8"))["model"]["vocab"]

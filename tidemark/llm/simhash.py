@@ -4,11 +4,13 @@ fingerprints() makes one 64-bit fingerprint per document. Distinct fingerprints
 vantage-point tree: a node has a vantage fingerprint and a radius, points within the radius go inside, the others
 outside. By the triangle inequality a point outside can have a partner inside only if its distance to the vantage
 point is at most radius + 3, so only those boundary points are also sent inside, and every linked pair meets in a
-leaf. In a leaf a tree of the same kind finds the exact pairs. The tree is fitted on a bounded sample
-(SAMPLE fingerprints); every fingerprint is routed through it.
+leaf. In a leaf a tree of the same kind finds the exact pairs. Splits are chosen by what their whole subtrees cost
+(Costs), most often a small ball against all the rest. The tree is fitted on a bounded sample (SAMPLE fingerprints);
+every fingerprint is routed through it. Leaves have SHARD_ROWS fingerprints or a LEAVES-th of all.
 
 Defined results: null or blank text has fingerprint 0 and links like any other; null doc_id is ignored in the
-component's least id (null if no member has one); repeated rows are each returned; other columns are not carried.
+component's least id (null if no member has one); repeated rows are each returned; other columns are not carried;
+an empty table gives no rows; texts of any length are read whole, in blocks of BLOCK words.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from tidemark.llm.common import by_batch, cut, ship
 from tidemark.llm.components import merge, min_label
 
 SEED = 42
-SAMPLE = 20_000
+SAMPLE, SHARD_ROWS, LEAVES = 40_000, 8192, 1024
 LEAF = 1024
 BLOCK = 1 << 15
 
@@ -62,35 +64,74 @@ def distance(points: np.ndarray, one: np.uint64) -> np.ndarray:
     return np.bitwise_count(points ^ one)
 
 
-def split(points: np.ndarray, reach: int, rng: np.random.Generator) -> tuple[np.uint64, int] | None:
-    """The vantage point and radius of the cheapest split, or None if no split saves a fifth of the pairs."""
-    best, found = 0.8 * len(points) ** 2, None
-    for v in rng.choice(points, min(6, len(points)), replace=False):
-        count = np.bincount(distance(points, v), minlength=65 + reach).cumsum()
-        inside, outside = count[reach : 65 + reach].astype(float), len(points) - count[:65].astype(float)
-        cost = np.where((outside > 0) & (inside < len(points)), inside**2 + outside**2, np.inf)
-        if cost[r := int(cost.argmin())] < best:
-            best, found = cost[r], (v, r)
-    return found
+def shares(points: np.ndarray, reach: int, vantages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Points inside and outside for every vantage point (rows) and radius from 0 to 64 (columns)."""
+    count = np.stack([np.bincount(distance(points, v), minlength=65 + reach).cumsum() for v in vantages])
+    return count[:, reach : 65 + reach].astype(float), len(points) - count[:, :65].astype(float)
+
+
+class Costs:
+    """What it costs to deal n points to leaves of at most `rows`: the copies of points in all leaves of the subtree.
+
+    The table is made from small to large n under the assumption that the shares which vantage points of the sample
+    leave inside and outside recur at every size, so a split is judged by all the splits that follow it. Without
+    a split, n points are ceil(n / rows) blocks of which every two meet.
+    """
+
+    GRID = 1.01
+
+    def __init__(self, sample: np.ndarray, rows: int, most: float, reach: int, rng: np.random.Generator):
+        self.rows, self.factor = rows, np.ones(2)
+        if not len(sample):
+            return
+        inside, outside = (x.ravel() / len(sample) for x in shares(sample, reach, rng.choice(sample, 12)))
+        real = (inside > 0) & (inside < 0.98) & (outside > 0) & (outside < 0.98)
+        inside, outside = inside[real], outside[real]
+        factor = [1.0]
+        for k in range(1, 2 + int(np.ceil(np.log(max(1.0, most / rows)) / np.log(self.GRID)))):
+            n = rows * self.GRID**k
+            self.factor = np.array(factor)
+            cheapest = ((self.of(inside * n) + self.of(outside * n)) / n).min(initial=np.inf)
+            factor.append(min(cheapest, np.ceil(n / rows)))
+        self.factor = np.array(factor)
+
+    def of(self, n: np.ndarray) -> np.ndarray:
+        at = np.log(np.maximum(n, self.rows) / self.rows) / np.log(self.GRID)
+        return n * np.interp(at, np.arange(len(self.factor)), self.factor)
+
+
+def split(points: np.ndarray, reach: int, rng: np.random.Generator, costs: Costs, scale: float = 1.0) -> tuple[np.uint64, int] | None:
+    """The vantage point and radius whose whole subtree costs least, or None if blocks cost no more."""
+    vantages = rng.choice(points, min(6, len(points)), replace=False)
+    inside, outside = shares(points, reach, vantages)
+    cost = costs.of(scale * inside) + costs.of(scale * outside)
+    cost[(inside == 0) | (outside == 0) | (np.maximum(inside, outside) > 0.98 * len(points))] = np.inf
+    v, r = np.unravel_index(cost.argmin(), cost.shape)
+    whole = scale * len(points)
+    return (vantages[v], int(r)) if cost[v, r] < whole * np.ceil(whole / costs.rows) else None
 
 
 class VantageTree:
-    """Nodes as tuples (vantage, radius, inside, outside) or ('leaf', first shard, blocks)."""
+    """Nodes in a list, as (vantage, radius, inside, outside) or (first shard, blocks)."""
 
     def __init__(self, sample: np.ndarray, total: int, shard_rows: int, reach: int = 3):
-        self.reach, self.shards = reach, 0
-        self.scale, self.rows, self.rng = max(1.0, total / max(1, len(sample))), shard_rows, np.random.default_rng(7)
-        self.root = self._grow(np.asarray(sample, np.uint64), 0)
-        del self.rng
-
-    def _grow(self, points: np.ndarray, depth: int):
-        if len(points) * self.scale > self.rows and len(points) > 8 and depth < 60 and (s := split(points, self.reach, self.rng)):
-            d = distance(points, s[0])
-            return (*s, self._grow(points[d <= s[1] + self.reach], depth + 1), self._grow(points[d > s[1]], depth + 1))
-        blocks = max(1, int(np.ceil(len(points) * self.scale / self.rows)))
-        leaf = ("leaf", self.shards, blocks)
-        self.shards += blocks * (blocks + 1) // 2
-        return leaf
+        self.reach, self.shards, self.depth, self.nodes = reach, 0, 0, [()]
+        sample, rng = np.asarray(sample, np.uint64), np.random.default_rng(7)
+        scale = max(1.0, total / max(1, len(sample)))
+        costs = Costs(sample, shard_rows, total, reach, rng)
+        todo = [(0, sample, 0)]
+        while todo:
+            at, points, depth = todo.pop()
+            self.depth = max(self.depth, depth)
+            if len(points) * scale > shard_rows and len(points) > 8 and (s := split(points, reach, rng, costs, scale)):
+                d, n = distance(points, s[0]), len(self.nodes)
+                self.nodes[at] = (*s, n, n + 1)
+                self.nodes += [(), ()]
+                todo += [(n, points[d <= s[1] + reach], depth + 1), (n + 1, points[d > s[1]], depth + 1)]
+            else:
+                blocks = max(1, int(np.ceil(len(points) * scale / shard_rows)))
+                self.nodes[at] = (self.shards, blocks)
+                self.shards += blocks * (blocks + 1) // 2
 
     def route(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of a point and a shard in which it is needed, for all points.
@@ -98,13 +139,13 @@ class VantageTree:
         A leaf that no split makes cheaper has one shard for each two of its blocks.
         """
         rows, shards = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        todo = [(self.root, np.arange(len(points)))]
+        todo = [(0, np.arange(len(points)))]
         while todo:
-            node, at = todo.pop()
+            k, at = todo.pop()
             if not len(at):
                 continue
-            if node[0] == "leaf" and isinstance(node[0], str):
-                _, first, blocks = node
+            if len(node := self.nodes[k]) == 2:
+                first, blocks = node
                 own = ((points[at] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % blocks
                 for other in range(blocks):
                     a, b = np.minimum(own, other), np.maximum(own, other)
@@ -120,10 +161,12 @@ class VantageTree:
 def local_parts(points: np.ndarray, reach: int = 3) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Members and the least member of their part, for parts of two and more; parts of different leaves may overlap."""
     rng = np.random.default_rng(11)
-    todo = [np.unique(np.asarray(points, np.uint64))]
+    whole = np.unique(np.asarray(points, np.uint64))
+    costs = Costs(whole, LEAF, len(whole), reach, rng)
+    todo = [whole]
     while todo:
         x = todo.pop()
-        if len(x) > LEAF and (s := split(x, reach, rng)):
+        if len(x) > LEAF and (s := split(x, reach, rng, costs)):
             d = distance(x, s[0])
             todo += [x[d <= s[1] + reach], x[d > s[1]]]
         elif len(x) > LEAF:
@@ -153,14 +196,14 @@ def flood(x: np.ndarray, reach: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield whole, np.repeat(whole.min(), len(whole))
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, reach: int = 3, shard_rows: int = 20_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 3, reach: int = 3, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(doc_id, fp, component_id): documents whose fingerprints are linked at `reach` or fewer bits, transitively."""
     prints = cut(fingerprints(docs, size))
     spark = docs.sparkSession
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
     total = distinct.count()
     sample = distinct.select("fp").orderBy(F.xxhash64("fp")).limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    tree = spark.sparkContext.broadcast(VantageTree(sample, total, max(256, min(shard_rows, total // 24)), reach))
+    tree = spark.sparkContext.broadcast(VantageTree(sample, total, max(shard_rows, total // LEAVES), reach))
 
     def deal(b: pa.RecordBatch) -> pa.RecordBatch:
         fp = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
