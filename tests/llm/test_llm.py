@@ -151,6 +151,43 @@ def test_language_model(docs, none):
     assert language_model.score(none, *language_model.train(none)).collect() == []
 
 
+def test_language_model_scores_as_written_out(spark):
+    """Every conditional probability by the definition, one token and one id at a time."""
+    rng = np.random.default_rng(3)
+    m = {k: v + rng.normal(0, 0.3, v.shape).astype(np.float32) for k, v in language_model.fresh().items()}
+    sample = ["the cat saw the dog", "dog", "the the zebra of cat cat saw"]
+    frequent = ["the", "cat", "dog", "saw", "of"]
+    words = language_model.Words(frequent)
+    far, want = language_model.REACH, []
+    for t in sample:
+        ids = [language_model.SIZE] * far + [words.id(w) for w in t.split()] + [language_model.SIZE] * far
+        total = 0.0
+        for i in range(far, len(ids) - far):
+            near = [*range(i - far, i), *range(i + 1, i + far + 1)]
+            hidden = np.append(sum(m["in"][ids[j]].astype(float) * m["at"][k] for k, j in enumerate(near)), 1.0)
+            score = np.array([np.exp(m["class"][x % language_model.CLASSES] @ hidden) for x in range(language_model.CLASSES)])
+            c = ids[i] % language_model.CLASSES
+            member = np.exp(m["member"][c] @ hidden)
+            total += np.log(score[c] / score.sum()) + np.log(member[ids[i] // language_model.CLASSES] / member.sum())
+        want.append(total)
+    got = language_model.score(spark.createDataFrame(list(enumerate(sample)), "doc_id long, text string"), frequent, m).collect()
+    assert np.allclose([r.log_likelihood for r in sorted(got)], want, atol=1e-3)
+
+
+def test_language_model_of_the_whole_corpus(spark):
+    """The same rows in 4 and in 64 partitions give one model, better than the table of word frequencies."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    nats, scores = [], []
+    for n in (4, 64):
+        frequent, model = language_model.train(docs.repartition(n, "doc_id"), stream_tokens=1 << 14)  # 6 streams
+        got = {r.doc_id: r for r in language_model.score(docs, frequent, model).collect()}
+        scores.append([got[k].mean_log_likelihood for k in sorted(got)])
+        nats.append(-sum(r.log_likelihood for r in got.values()) / sum(r.n_tokens for r in got.values()))
+    counts = language_model.vocabulary(docs)[1]
+    words = -(counts[counts > 0] / counts.sum()) @ np.log(counts[counts > 0] / counts.sum())
+    assert max(nats) < words - 0.3 and abs(nats[0] - nats[1]) < 0.01 and np.abs(np.subtract(*scores)).max() < 0.05
+
+
 def test_packing(docs, none):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
     tokenizer.encode_special_tokens = True

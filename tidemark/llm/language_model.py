@@ -3,35 +3,47 @@
 Vocabulary: the words of all documents are counted; the FREQUENT most frequent ones have ids of their own, all others
 share ids by a hash of their last letters. The network predicts each token from the REACH tokens on either side:
 embeddings, weighted by position, are summed to a hidden layer that feeds a softmax over classes and one over the
-members of the token's class, so probabilities of all ids sum to one. Training is in numpy: every partition of the
-corpus trains a copy over all its tokens, and the copies are averaged, weighted by tokens, block by block of the
-parameters. A document's score is the sum of its tokens' conditional log-probabilities.
-
-What is gathered grows with the corpus: word counts and one model per input partition are shuffled. The driver gets
-FREQUENT words and one model. Defined results: null or blank text has no tokens, score 0 and mean 0; repeated rows have
-equal scores; a text of one word is predicted from padding; other columns are not carried.
+members of the token's class, so probabilities of all ids sum to one. Its biases start from the counts of all
+documents, so it begins as the table of word frequencies.
+
+Training is in numpy, over all tokens of all documents. Documents are dealt by hash to streams of about STREAM_TOKENS
+tokens a round, however the input is partitioned, and by hash to ROUNDS rounds; in a round every stream goes on from
+the model so far, with steps that shrink by the gradients a row of parameters has seen, and the results are averaged,
+weighted by tokens. The same rows give the same model, up to the order in which floating-point sums are formed. A
+document's score is the sum of its tokens' conditional log-probabilities.
+
+What is gathered grows with the corpus: word counts, the ids of all tokens and one model a stream and round are
+shuffled. The driver gets FREQUENT words, SHARED counts and one model a round. Defined results: null or blank text has
+no tokens, score 0 and mean 0; repeated rows have equal scores; a text of one word is predicted from padding; an empty
+table gives no rows; a text of any length is trained on and scored whole, step by step; other columns are not carried.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_batch, ship, table
+from tidemark.llm.common import by_batch, cut, ship, table
 from tidemark.llm.packing import grouped
 
 FREQUENT, SHARED, CLASSES, MEMBERS = 3072, 1024, 64, 64
 SIZE = FREQUENT + SHARED
-WIDTH, REACH, BATCH, STEP, RATE = 16, 2, 4096, 4096, 0.003
+WIDTH, REACH, BATCH, STEP, RATE = 16, 2, 4096, 4096, 0.2
+ROUNDS, STREAM_TOKENS = 4, 1 << 18
 SAFE = 60.0  # logits within it need no shift in single precision
+GROUP = 1 << 17  # tokens that are held at a time, or one text
+BLOCKS = 64  # into which a model is cut for the average
 SPREAD = 32  # sums of models are formed in so many parts before the last one
+SHAPES: dict[str, tuple[int, ...]] = {
+    "in": (SIZE + 1, WIDTH), "at": (2 * REACH, WIDTH), "class": (CLASSES, WIDTH + 1), "member": (CLASSES, MEMBERS, WIDTH + 1),
+    "in_seen": (SIZE + 1,), "at_seen": (2 * REACH,), "class_seen": (CLASSES,), "member_seen": (CLASSES, MEMBERS),
+}
 assert CLASSES * MEMBERS == SIZE
 
 
@@ -62,28 +74,27 @@ class Words:
         return [x[x >= 0] for x in (every[lo:hi] for lo, hi in zip(edge, edge[1:], strict=False))]
 
 
-def fresh(seed: int = 1) -> dict[str, np.ndarray]:
-    """Parameters before training; all zero or small, so every id is about equally likely."""
+def fresh(counts: np.ndarray | None = None, seed: int = 1) -> dict[str, np.ndarray]:
+    """Parameters before training: small embeddings, and biases that give every id its share of the counts.
+
+    The last column of both output layers is their bias; *_seen are the squared gradients of each row so far."""
     rng = np.random.default_rng(seed)
-    return {
-        "in": rng.normal(0, 0.3, (SIZE + 1, WIDTH)).astype(np.float32),  # the last row stands for the margin
-        "at": np.ones((2 * REACH, WIDTH), np.float32) / (2 * REACH),
-        # the last column of both output layers is their bias
-        "class": np.zeros((CLASSES, WIDTH + 1), np.float32), "member": np.zeros((CLASSES, MEMBERS, WIDTH + 1), np.float32),
-    }
+    model = {k: np.ones(v, np.float32) if k.endswith("_seen") else np.zeros(v, np.float32) for k, v in SHAPES.items()}
+    model["in"] = rng.normal(0, 0.3, (SIZE + 1, WIDTH)).astype(np.float32)  # the last row stands for the margin
+    model["at"] += 1 / (2 * REACH)
+    by = (np.ones(SIZE) if counts is None else counts + 0.5).reshape(MEMBERS, CLASSES).T
+    model["class"][:, -1] = np.log(by.sum(1) / by.sum())
+    model["member"][:, :, -1] = np.log(by / by.sum(1, keepdims=True))
+    return model
 
 
 def flat(model: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([model[k].ravel() for k in fresh_shapes()])
-
-
-def fresh_shapes() -> dict[str, tuple[int, ...]]:
-    return {"in": (SIZE + 1, WIDTH), "at": (2 * REACH, WIDTH), "class": (CLASSES, WIDTH + 1), "member": (CLASSES, MEMBERS, WIDTH + 1)}
+    return np.concatenate([model[k].ravel() for k in SHAPES])
 
 
 def shaped(values: np.ndarray) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for k, s in fresh_shapes().items():
+    for k, s in SHAPES.items():
         n = int(np.prod(s))
         out[k] = values[at : at + n].reshape(s).astype(np.float32)
         at += n
@@ -109,6 +120,13 @@ def exponentials(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return total, np.log(total) + most
 
 
+def move(model: dict, name: str, rows, gradient: np.ndarray, rate: float) -> None:
+    """A step of some rows of parameters, shorter the larger their gradients have been."""
+    seen = model[f"{name}_seen"]
+    seen[rows] += np.square(gradient).mean(-1)
+    model[name][rows] -= rate * gradient / np.sqrt(seen[rows])[..., None]
+
+
 def step(model: dict, ids: np.ndarray, at: np.ndarray, rate: float | None = None) -> np.ndarray:
     """Log-probability of the tokens at the increasing positions; with a rate, a gradient step follows.
 
@@ -147,11 +165,10 @@ def step(model: dict, ids: np.ndarray, at: np.ndarray, rate: float | None = None
         dh = p @ model["class"]
         for k, lo, hi in parts:
             dh[lo:hi] += q[lo:hi] @ model["member"][k]
-            model["member"][k] -= rate * (q[lo:hi].T @ h[lo:hi])
-        model["class"] -= rate * (p.T @ h)
-        dh = dh[:, :WIDTH]
+            move(model, "member", k, q[lo:hi].T @ h[lo:hi], rate)
+        move(model, "class", slice(None), p.T @ h, rate)
         spread = np.zeros((n, WIDTH), np.float32)
-        spread[place] = dh / np.maximum(1.0, np.abs(dh).max(1, keepdims=True))
+        spread[place] = dh[:, :WIDTH]
         change = np.zeros((len(near), WIDTH), np.float32)
         turn = np.empty_like(model["at"])
         for i, o in enumerate(shifts):
@@ -160,8 +177,8 @@ def step(model: dict, ids: np.ndarray, at: np.ndarray, rate: float | None = None
         by = np.argsort(near.astype(np.uint16), kind="stable")
         own = near[by]
         starts = np.flatnonzero(np.diff(own, prepend=-1))
-        model["in"][own[starts]] -= rate * np.add.reduceat(change[by], starts, axis=0)
-        model["at"] -= rate * turn / len(at)
+        move(model, "in", own[starts], np.add.reduceat(change[by], starts, axis=0), rate)
+        move(model, "at", slice(None), turn, rate)
     back = np.empty(len(at))
     back[order] = out
     return back
@@ -171,7 +188,7 @@ def positions(ids: np.ndarray) -> np.ndarray:
     return np.flatnonzero(ids != SIZE)
 
 
-def train_on(texts: Iterator[list[np.ndarray]], model: dict, rate: float = RATE) -> int:
+def train_on(texts: Iterable[list[np.ndarray]], model: dict, rate: float = RATE) -> int:
     """Train the model in place; the number of tokens used, which is all of them."""
     n = 0
     for batch in texts:
@@ -198,7 +215,7 @@ def log_likelihood(model: dict, texts: list[np.ndarray]) -> list[float]:
     return out.tolist()
 
 
-def _grouped(texts: pa.Array, words: Words, most: int = 1 << 17) -> Iterator[list[np.ndarray]]:
+def _grouped(texts: pa.Array, words: Words, most: int = GROUP) -> Iterator[list[np.ndarray]]:
     """Ids of texts, in groups of bounded size; a longer text is a group."""
     group, n = [], 0
     for some in grouped(texts):
@@ -212,8 +229,8 @@ def _grouped(texts: pa.Array, words: Words, most: int = 1 << 17) -> Iterator[lis
         yield group
 
 
-def vocabulary(docs: DataFrame) -> list[str]:
-    """The most frequent words of all documents, ties in order of the words."""
+def vocabulary(docs: DataFrame) -> tuple[list[str], np.ndarray]:
+    """The most frequent words of all documents, ties in order of the words, and how often each id occurs."""
 
     def some(b: pa.RecordBatch) -> pa.RecordBatch:
         lower = pc.utf8_lower(pc.fill_null(b.column(0).cast(pa.large_string()), ""))
@@ -221,39 +238,80 @@ def vocabulary(docs: DataFrame) -> list[str]:
         return pa.RecordBatch.from_arrays([found.field("values").cast(pa.string()), found.field("counts")], ["w", "k"])
 
     partial = by_batch(docs.select(F.col("text").cast("string").alias("text")), some, "w string, k long").where("w <> ''")
-    counts = partial.groupBy("w").agg(F.sum("k").alias("n"))
-    return [r.w for r in counts.orderBy(F.desc("n"), "w").limit(FREQUENT).collect()]
-
-
-def train(docs: DataFrame) -> tuple[list[str], dict[str, np.ndarray]]:
-    """Vocabulary and averaged model."""
+    counts = cut(partial.groupBy("w").agg(F.sum("k").alias("n")))
+    own = counts.orderBy(F.desc("n"), "w").limit(FREQUENT).collect()
+    shared = F.pmod(F.crc32(F.right("w", F.lit(3)).cast("binary")), F.lit(SHARED)).cast("int").alias("id")
+    total = np.zeros(SIZE)
+    for r in counts.groupBy(shared).agg(F.sum("n").alias("n")).collect():  # SHARED rows at most
+        total[FREQUENT + r.id] = r.n
+    for k, r in enumerate(own):
+        total[k] = r.n
+        total[FREQUENT + zlib.crc32(r.w[-3:].encode("utf-8", "surrogatepass")) % SHARED] -= r.n
+    return [r.w for r in own], total
+
+
+def train(docs: DataFrame, stream_tokens: int = STREAM_TOKENS) -> tuple[list[str], dict[str, np.ndarray]]:
+    """Vocabulary and model."""
     spark = docs.sparkSession
     ship(spark)
-    frequent = vocabulary(docs)
-    shared = spark.sparkContext.broadcast(frequent)
-    blocks, width = 64, -(-len(flat(fresh())) // 64)
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, model = Words(shared.value), fresh()
-        n = sum(train_on(_grouped(b.column(0), words), model) for b in batches)
-        if n:
-            whole = flat(model).astype(np.float64) * n
-            parts = [whole[i * width : (i + 1) * width] for i in range(blocks)]
-            task = TaskContext.get().partitionId() % SPREAD
-            yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([task] * blocks, pa.int32()), pa.array([n] * blocks, pa.int64()), pa.array(parts, pa.list_(pa.float64()))], ["block", "part", "n", "v"])
+    frequent, counts = vocabulary(docs)
+    model = fresh(counts)
+    if not frequent:
+        return frequent, model
+    streams = max(1, round(counts.sum() / (ROUNDS * stream_tokens)))
+    words_of = spark.sparkContext.broadcast(frequent)
+    kept: dict[str, Words] = {}
+
+    def code(b: pa.RecordBatch) -> pa.RecordBatch:
+        words = kept.setdefault("w", Words(words_of.value))
+        ids = [x.astype(np.uint16).tobytes() for part in grouped(b.column(1)) for x in words.ids(part)]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["h", "ids"])
+
+    text = F.col("text").cast("string")
+    h = F.xxhash64(F.lit(1), F.col("doc_id").cast("long"), text)
+    coded = by_batch(docs.where(text.isNotNull()).select(h.alias("h"), text.alias("text")), code, "h long, ids binary").where(F.length("ids") > 0)
+    stream = F.pmod("h", F.lit(streams)).cast("int").alias("stream")
+    turn = F.pmod(F.shiftrightunsigned("h", 32), F.lit(ROUNDS)).cast("int").alias("round")
+    coded = cut(coded.select(stream, turn, "h", "ids").repartitionById(streams, F.col("stream")).sortWithinPartitions("round", "stream", "h", "ids"))
+    width = -(-len(flat(model)) // BLOCKS)
+    schema = "block int, part int, n long, v array<float>"
 
     def total(group: pa.Table) -> pa.Table:
-        v = group.column("v").combine_chunks()
-        rows = v.flatten().to_numpy().reshape(group.num_rows, -1)
-        return pa.table({"block": group.column("block").slice(0, 1), "part": group.column("part").slice(0, 1), "n": [int(group.column("n").to_numpy().sum())], "v": pa.array([rows.sum(0)], pa.list_(pa.float64()))})
-
-    schema = "block int, part int, n long, v array<double>"
-    models = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(local, schema)
-    some = models.groupBy("block", "part").applyInArrow(total, schema)
-    rows = some.groupBy("block").applyInArrow(total, schema).orderBy("block").collect()  # one model
-    if not rows:
-        return frequent, fresh()
-    return frequent, shaped(np.concatenate([np.array(r.v) / r.n for r in rows]))
+        rows = group.column("v").combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
+        n = group.column("n").to_numpy()
+        mean = (n / n.sum()) @ rows.astype(np.float64)
+        return pa.table({"block": group.column("block").slice(0, 1), "part": group.column("part").slice(0, 1), "n": [int(n.sum())], "v": pa.array([mean.astype(np.float32)], pa.list_(pa.float32()))})
+
+    for r in range(ROUNDS):
+        start = spark.sparkContext.broadcast(flat(model))
+
+        def local(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
+            now, net, n, waiting, held = -1, {}, 0, [], 0
+            for own, ids in ((s, i) for b in batches for s, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+                if own != now:
+                    n += train_on([waiting], net)
+                    yield from trained(now, net, n)
+                    now, net, n, waiting, held = own, shaped(start.value), 0, [], 0
+                waiting.append(np.frombuffer(ids, np.uint16).astype(np.int32))
+                held += len(waiting[-1])
+                if held >= GROUP:
+                    n += train_on([waiting], net)
+                    waiting, held = [], 0
+            n += train_on([waiting], net)
+            yield from trained(now, net, n)
+
+        def trained(stream: int, net: dict, n: int) -> Iterator[pa.RecordBatch]:
+            if n:
+                whole = flat(net)
+                parts = [whole[i * width : (i + 1) * width] for i in range(BLOCKS)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([stream % SPREAD] * BLOCKS, pa.int32()), pa.array([n] * BLOCKS, pa.int64()), pa.array(parts, pa.list_(pa.float32()))], ["block", "part", "n", "v"])
+
+        models = coded.where(F.col("round") == r).select("stream", "ids").mapInArrow(local, schema)
+        some = models.groupBy("block", "part").applyInArrow(total, schema)
+        rows = some.groupBy("block").applyInArrow(total, schema).orderBy("block").collect()  # one model
+        if rows:
+            model = shaped(np.concatenate([np.array(x.v, np.float32) for x in rows]))
+    return frequent, model
 
 
 def score(docs: DataFrame, frequent: list[str], model: dict[str, np.ndarray]) -> DataFrame:
