@@ -8,6 +8,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import regex
@@ -190,7 +191,6 @@ def test_language_model_of_the_whole_corpus(spark):
 
 def test_packing(docs, none):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
-    tokenizer.encode_special_tokens = True
     want = []
     for i, t in rows(docs):
         ids = np.array([*tokenizer.encode(t, add_special_tokens=False).ids, 0], "<u4")
@@ -204,6 +204,16 @@ def test_packing(docs, none):
     assert packing.pack(packing.pieces(none)).collect() == []
 
 
+def test_token_ids_as_by_the_tokenizer():
+    rng = np.random.default_rng(6)
+    letters = list("aAzZéÉßİıſẞŒøŁΣσςΑάДжकाไ漢字ｆ한가가\u0301\u0307\u0327\u200b\u00adª²½٣Ⅷ😀.,.,.,!?'’-_#<|>") + [" ", "  ", "\n", "\t", "\u3000", "\x85", "<|endoftext|>", "<|StartOfText|>", "'LL", "TBMMSİ."]
+    found = ["".join(rng.choice(letters, n)) for n in rng.integers(0, 12, 20_000)] + ["TBMMSİ. ok", "<|endoftext|> the", "a<|startoftext|>b", "<|ENDOFTEXT|>"]
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    got = packing.Cutter(public_tokenizers.path(packing.VOCABULARY)).ids(pa.array(found))
+    wrong = [t for t, x, e in zip(found, got, tokenizer.encode_batch(found, add_special_tokens=False), strict=True) if x.tolist() != e.ids]
+    assert wrong == []
+
+
 def test_fullest_combination():
     rng = np.random.default_rng(3)
     for _ in range(200):

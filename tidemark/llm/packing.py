@@ -5,13 +5,15 @@ for bin after bin, the longest piece left is taken and a subset-sum over the len
 integer, finds the fullest bin that goes with it; the combination is used as often as its lengths last, so that each
 step uses up a length. Pieces then find their places by their rank within their length.
 
-Defined results: null text is empty and is one piece of the end id alone; equal doc_ids and repeated rows are pieces
-of their own; an empty table gives no rows; other columns are not carried.
+Special tokens' strings in a text get their ids, as by the tokenizer's defaults. Defined results: null text is empty
+and is one piece of the end id alone; equal doc_ids and repeated rows are pieces
+of their own; an empty table gives no rows; texts of any length are encoded whole; other columns are not carried.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -28,8 +30,10 @@ from tidemark.llm.common import by_batch, cut, ship, table
 
 VOCABULARY, CAPACITY, END_ID = "word_bpe_49k.json", 2048, 0
 CACHE, LONG = 250_000, 48
-#: Beyond these letters, or at this one, lower-casing and composing may depend on each other.
-_other = "[^\\x00-\u024f]|\u0130"
+#: Beyond these letters, or at this one, lower-casing and composing may depend on each other; with these
+#: marks special tokens begin, which are told apart by case.
+_other = "[^\\x00-\u024f]|\u0130|<\\|"
+_plain = re.compile("[\x00-\u012f\u0131-\u024f]*")
 _made: dict[str, "Cutter"] = {}
 
 
@@ -42,7 +46,6 @@ class Cutter:
 
     def __init__(self, path: str):
         self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
-        self.tokenizer.encode_special_tokens = True
 
     def raw(self, chunks: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
@@ -57,7 +60,7 @@ class Cutter:
                 young[c] = got
             if got is not None:
                 out[c] = got
-            elif c[-1:] in (".", ",") and c[:-1].isalpha():  # a letter's run and one mark are two words
+            elif c[-1:] in (".", ",") and c[:-1].isalpha() and _plain.fullmatch(c):  # a letter's run and one mark are two words
                 ends.append(c)
                 if (base := young.get(c[:-1]) or old.get(c[:-1])) is None:
                     new[c[:-1]] = None
