@@ -204,6 +204,14 @@ def test_packing(docs, none):
     assert packing.pack(packing.pieces(none)).collect() == []
 
 
+def test_packing_of_one_length_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SALT_ROWS", 50)
+    same = spark.range(1000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "'one two' AS text")
+    got = packing.pack(packing.pieces(same, 10), 10).toPandas()
+    assert len(got) == 1000 and got["sequence_id"].nunique() == 334
+    assert all(sorted(g["offset"]) == list(range(0, 3 * len(g), 3)) for _, g in got.groupby("sequence_id"))
+
+
 def test_token_ids_as_by_the_tokenizer():
     rng = np.random.default_rng(6)
     letters = list("aAzZéÉßİıſẞŒøŁΣσςΑάДжकाไ漢字ｆ한가가\u0301\u0307\u0327\u200b\u00adª²½٣Ⅷ😀.,.,.,!?'’-_#<|>") + [" ", "  ", "\n", "\t", "\u3000", "\x85", "<|endoftext|>", "<|StartOfText|>", "'LL", "TBMMSİ."]
@@ -246,11 +254,33 @@ def test_sharding(spark, docs, none):
     counts = got.groupby("shard").size()
     assert len(got) == docs.count() and counts.max() - counts.min() <= 1 and len(counts) == 5
     assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in got.groupby("shard"))
+    own = [(i, len(t.encode()) + 8, zlib.crc32(t.encode())) for i, t in rows(docs)]
+    assert sorted(((None if i != i else int(i), int(s), int(c)) for i, s, c in got[["doc_id", "size", "text_crc32"]].itertuples(index=False)), key=key) == sorted(own, key=key)
     hot = spark.range(1000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "'x' AS text")
     counts = sharding.shard(hot, 7).groupBy("shard").count().toPandas()["count"]
     assert counts.max() - counts.min() <= 1 and sharding.shard(none).collect() == []
 
 
+def test_sharding_starts_at_the_next_point(spark):
+    """Without a bound that binds, every key is at the first point clockwise from its hash; one arc in parts, too."""
+    ids = spark.range(3000).selectExpr("id AS doc_id", "'t' AS text", "xxhash64(id) AS h")
+    at = {r.doc_id: r.h for r in ids.collect()}
+    got = {r.doc_id: r.shard for r in sharding.shard(ids.drop("h"), 3).collect()}
+    points = sharding.ring(3)
+    first = {i: next((s for p, s in points if p >= h), points[0][1]) for i, h in at.items()}
+    moved = sum(first[i] != got[i] for i in at)
+    count = [sum(s == k for s in first.values()) for k in range(3)]
+    assert moved >= sum(max(0, c - 1000) for c in count) and moved < 1500
+    assert all(got[i] == s for i, s in first.items() if count[s] <= 1000)
+    parts = sharding.SALT_ROWS
+    sharding.SALT_ROWS = 100
+    try:
+        hot = sharding.shard(spark.range(2000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "'x' AS text"), 7).toPandas()
+    finally:
+        sharding.SALT_ROWS = parts
+    assert all(sorted(g["slot"]) == list(range(len(g))) for _, g in hot.groupby("shard")) and hot.groupby("shard").size().between(285, 286).all()
+
+
 def test_flow_is_clockwise():
     counts, owners = [5, 0, 3, 1], [0, 1, 2, 1]
     spans = sharding.flow(counts, owners, 3)

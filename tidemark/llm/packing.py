@@ -30,6 +30,8 @@ from tidemark.llm.common import by_batch, cut, ship, table
 
 VOCABULARY, CAPACITY, END_ID = "word_bpe_49k.json", 2048, 0
 CACHE, LONG = 250_000, 48
+#: Pieces of one length are ranked in parts of about SALT_ROWS, or of a SALTS-th of all.
+SALT_ROWS, SALTS = 20_000, 1 << 17
 #: Beyond these letters, or at this one, lower-casing and composing may depend on each other; with these
 #: marks special tokens begin, which are told apart by case.
 _other = "[^\\x00-\u024f]|\u0130|<\\|"
@@ -193,16 +195,18 @@ def places(bins: list[tuple[int, dict[int, int]]], capacity: int = CAPACITY) ->
 
 def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The rows of pieces() with sequence_id and offset."""
-    found = cut(found)
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "start"), F.lit(64)).cast("int")
-    salted = found.withColumn("salt", salt)
-    groups = cut(salted.groupBy("length", "salt").agg(F.count("*").alias("n")))
-    counts = {r.length: r.n for r in groups.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # `capacity` rows at most
+    found = cut(found).withColumn("at", F.monotonically_increasing_id())  # stable, as it numbers what is written
+    by_length = cut(found.groupBy("length").agg(F.count("*").alias("pieces")))
+    counts = {r.length: r.pieces for r in by_length.collect()}  # `capacity` rows at most
     where = found.sparkSession.sparkContext.broadcast(places(plan(counts, capacity), capacity))
+    each = max(SALT_ROWS, sum(counts.values()) // SALTS)
+    salt = F.pmod(F.xxhash64("at"), F.ceil(F.col("pieces") / F.lit(each))).cast("int").alias("salt")
+    salted = found.join(F.broadcast(by_length), "length").select(*found.columns, salt)
+    groups = cut(salted.groupBy("length", "salt").agg(F.count("*").alias("n")))
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = groups.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    own = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = salted.withColumn("k", F.row_number().over(own) - 1).join(F.broadcast(starts), ["length", "salt"])  # capacity * 64 rows at most
+    own = Window.partitionBy("length", "salt").orderBy("at")
+    ranked = salted.withColumn("k", F.row_number().over(own) - 1).join(F.broadcast(starts), ["length", "salt"])  # capacity + SALTS rows at most
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def make(b: pa.RecordBatch) -> pa.RecordBatch:

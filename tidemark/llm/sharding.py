@@ -21,7 +21,9 @@ from pyspark.sql import Window
 
 from tidemark.llm.common import cut, table
 
-REPLICAS, CELLS, SALTS = 64, 4096, 16
+REPLICAS, CELLS = 64, 4096
+#: Documents of one arc are ranked in parts of about SALT_ROWS, or of a SALTS-th of all.
+SALT_ROWS, SALTS = 20_000, 1 << 17
 
 
 def ring(n_shards: int, replicas: int = REPLICAS) -> list[tuple[int, int]]:
@@ -71,22 +73,25 @@ def shard(docs: DataFrame, n_shards: int = 24, replicas: int = REPLICAS) -> Data
     base = base.withColumn("_cell", cell).select(
         "doc_id", "size", "text_crc32",
         F.pmod(F.col("_cell.f") + F.size(F.filter("_cell.p", lambda p: p < F.col("_key"))), F.lit(len(points))).alias("arc"),
-        F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(SALTS)).cast("int").alias("salt"),
     )
-    base = cut(base)
-    parts = cut(base.groupBy("arc", "salt").agg(F.count("*").alias("n")))
+    base = cut(base).withColumn("at", F.monotonically_increasing_id())  # stable, as it numbers what is written
+    by_arc = cut(base.groupBy("arc").agg(F.count("*").alias("docs")))
     counts = [0] * len(points)
-    for row in parts.groupBy("arc").agg(F.sum("n").alias("n")).collect():  # len(points) rows at most
-        counts[row.arc] = row.n
+    for row in by_arc.collect():  # len(points) rows at most
+        counts[row.arc] = row.docs
+    each = max(SALT_ROWS, sum(counts) // SALTS)
+    salt = F.pmod(F.xxhash64("at"), F.ceil(F.col("docs") / F.lit(each))).cast("int").alias("salt")
+    salted = base.join(F.broadcast(by_arc), "arc").select(*base.columns, salt)
+    parts = cut(salted.groupBy("arc", "salt").agg(F.count("*").alias("n")))
     spans = [{"arc": a, "lo": lo, "hi": hi, "shard": s, "first": f} for a, lo, hi, s, f in flow(counts, [s for _, s in points], n_shards)]
-    by_arc: list[list] = [[] for _ in points]
+    spans_of: list[list] = [[] for _ in points]
     for x in spans:
-        by_arc[x.pop("arc")].append(x)
+        spans_of[x.pop("arc")].append(x)
     before = Window.partitionBy("arc").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.select("arc", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))  # len(points) * SALTS rows at most
-    own = Window.partitionBy("arc", "salt").orderBy("doc_id", "text_crc32", "size")
-    ranked = base.withColumn("k", F.row_number().over(own) - 1).join(F.broadcast(starts), ["arc", "salt"]).withColumn("rank", F.col("k") + F.col("start"))
-    span = F.get(_literal(by_arc, "array<array<struct<lo:bigint,hi:bigint,shard:int,first:bigint>>>"), F.col("arc"))
+    starts = parts.select("arc", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))  # len(points) + SALTS rows at most
+    own = Window.partitionBy("arc", "salt").orderBy("at")
+    ranked = salted.withColumn("k", F.row_number().over(own) - 1).join(F.broadcast(starts), ["arc", "salt"]).withColumn("rank", F.col("k") + F.col("start"))
+    span = F.get(_literal(spans_of, "array<array<struct<lo:bigint,hi:bigint,shard:int,first:bigint>>>"), F.col("arc"))
     found = F.get(F.filter(span, lambda x: (x["lo"] <= F.col("rank")) & (F.col("rank") < x["hi"])), F.lit(0))
     return ranked.withColumn("_s", found).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("_s.shard").alias("shard"),
