@@ -324,12 +324,29 @@ def test_embeddings_meet_at_any_total():
     side = rng.normal(size=x.shape)
     side = embeddings.unit(side - (side * x).sum(1, keepdims=True) * x)
     y = 0.9 * x + np.sqrt(1 - 0.81) * side
-    learned = [embeddings.learn(x[:3000], 64, 5 + k) for k in range(4)]
+    learned = [embeddings.learn(x[:3000], 64, 5 + k) for k in range(8)]
     a, b = embeddings.codes(x, learned), embeddings.codes(y, learned)
-    for total in (2_000, 20_000, 50_000, 200_000, 10_000_000):  # the last two force bands of 13 and 16 bits
+    for total in (2_000, 20_000, 50_000, 200_000, 1_000_000, 10_000_000, 100_000_000):  # bands of up to 20 bits
         assert embeddings.met(a, b, embeddings.bands(total, 64)).mean() >= 0.98
 
 
+@pytest.mark.parametrize("caps", [{}, {"bucket_cap": 40, "sifted_cap": 7}])
+def test_embeddings_as_brute_force(spark, caps):
+    """n_links, component_id and kept, for groups of copies, chains of links and three lengths of vectors."""
+    rng = np.random.default_rng(13)
+    x = []
+    for dim, n in ((64, 400), (16, 60), (2, 8)):
+        base = rng.normal(size=(n, dim))
+        x += [*base, *(base[:40] + rng.normal(size=base[:40].shape) * 0.2), *(base[1] + rng.normal(size=(30, dim)) * 0.2), *([base[2]] * 5)]
+    links = np.array([[len(a) == len(b) and a @ b >= 0.9 * np.sqrt((a @ a) * (b @ b)) for b in x] for a in x])
+    group = np.arange(len(x))
+    while ((new := np.where(links, group, len(x)).min(1)) != group).any():
+        group = new
+    data = spark.createDataFrame([(k, e.tolist()) for k, e in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(map(tuple, embeddings.near_duplicates(data, **caps).collect()))
+    assert got == [(k, int(links[k].sum()) - 1, int(g), k == g) for k, g in enumerate(group)]
+
+
 def test_embeddings_of_wide_bands(spark):
     rng = np.random.default_rng(10)
     base = embeddings.unit(rng.normal(size=(1500, 64)))

@@ -7,11 +7,14 @@ at home in the bucket of its band; if a band bit is 0 it also visits the bucket
 that differ in at most one bit of a band meet in exactly one bucket of that table. A pair is counted in the first
 table in which it meets, after its cosine is computed from the original vectors in double precision. Equal vectors are
 one row until the end. Buckets larger than `bucket_cap` are cut into blocks and every two blocks meet in a task of
-their own. Only counts per vector and the members of local components leave a task, never pairs.
-
-Defined results: vectors that are null, empty, zero or hold a null or non-finite component, and vectors of another
-length than the most frequent one, link with nothing and are their own component; a null vec_id counts as a vector but
-can't name a component; repeated rows link with each other; other columns are not carried.
+their own; so are those of which many rows have a partner (`sifted_cap`). Only counts per vector and the members of
+local components leave a task, never pairs. Of pairs at cosine 0.9 that meet, fewer than 1 in 1000 differ in more than
+WITHIN bits and are lost.
+
+Defined results: vectors that are null, empty, zero or hold a null or non-finite component link with nothing and are
+their own component; vectors of different lengths don't link, those of each length are compared among themselves; a
+null vec_id counts as a vector but can't name a component; repeated rows link with each other; an empty table gives no
+rows; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -58,7 +61,7 @@ def codes(x: np.ndarray, learned: list[tuple[np.ndarray, np.ndarray]]) -> np.nda
 
 def bands(total: int, bits: int, bucket_rows: int = 32) -> list[tuple[int, int, int]]:
     """(rotation, shift, width) of each band."""
-    width = min(bits, int(np.clip(np.ceil(np.log2(max(2, total) / bucket_rows)), 4, 16)))
+    width = min(bits, int(np.clip(np.ceil(np.log2(max(2, total) / bucket_rows)), 4, 20)))
     apart = 1 - (1 - BIT) ** width - width * BIT * (1 - BIT) ** (width - 1)
     each = bits // width
     n = max(each, int(np.ceil(np.log(1 - MEETS) / np.log(apart))) if apart > 1e-9 else 1)
@@ -85,10 +88,10 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
-def candidates(at_home: np.ndarray, code: np.ndarray, earlier: list, within: int, side: np.ndarray | None):
+def candidates(at_home: np.ndarray, code: np.ndarray, earlier: list, within: int, sides: list[np.ndarray]):
     """Index pairs of one bucket, in blocks: at least one at home, not met in an earlier table, codes near enough.
 
-    side: with two blocks, which one a row is of; then only pairs across are compared.
+    sides: with two blocks, which one a row is of; then only pairs across are compared.
     """
     home = np.flatnonzero(at_home)
     step = max(1, (1 << 20) // max(len(code), 1))
@@ -97,7 +100,7 @@ def candidates(at_home: np.ndarray, code: np.ndarray, earlier: list, within: int
         a, b = np.nonzero(np.bitwise_count(code[own, 0][:, None] ^ code[None, :, 0]) <= within)
         a = own[a]
         ok = ~at_home[b] | (a < b)  # two at home meet once, two visitors never
-        if side is not None:
+        for side in sides:
             ok &= side[a] != side[b]
         a, b = a[ok], b[ok]
         if earlier and len(a):
@@ -108,16 +111,18 @@ def candidates(at_home: np.ndarray, code: np.ndarray, earlier: list, within: int
 
 
 def segments(table: pa.Table):
-    """Each bucket (or two blocks of one) of a task's rows: table number, row indices, at home, codes, side."""
-    key, lo, hi, rep = (table.column(c).to_numpy() for c in ("key", "lo", "hi", "rep"))
-    order = np.lexsort((rep, hi, lo, key))
-    edge = np.flatnonzero((np.diff(key[order]) != 0) | (np.diff(lo[order]) != 0) | (np.diff(hi[order]) != 0)) + 1
-    home, block = table.column("home").to_numpy(), table.column("b").to_numpy()
+    """Each bucket (or two blocks of one) of a task's rows: table number, row indices, at home, codes, sides."""
+    cells = [c for c in ("key", "lo", "hi", "lo2", "hi2") if c in table.column_names]
+    cell = [table.column(c).to_numpy() for c in cells]
+    order = np.lexsort((table.column("rep").to_numpy(), *cell[::-1]))
+    edge = np.flatnonzero(np.any([np.diff(c[order]) != 0 for c in cell], axis=0)) + 1
+    home, block = table.column("home").to_numpy(), [table.column(c).to_numpy() for c in ("b", "b2") if c in table.column_names]
     code = np.stack([table.column(c).to_numpy() for c in table.column_names if c.startswith("code")], 1).view(np.uint64)
     for at in np.split(order, edge):
         if len(at) > 1:
             one = at[0]
-            yield int(key[one] % 64), at, home[at], code[at], block[at] if lo[one] != hi[one] else None
+            sides = [b[at] for b, lo, hi in zip(block, cell[1::2], cell[2::2], strict=True) if lo[one] != hi[one]]
+            yield int(cell[0][one] % 64), at, home[at], code[at], sides
 
 
 def forest(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
@@ -134,17 +139,31 @@ def forest(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
             return label
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.9, bucket_rows: int = 32, bucket_cap: int = 4096, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
+def in_blocks(rows: DataFrame, cell: list[str], cap: int, names: tuple[str, str, str]) -> DataFrame:
+    """Rows of a cell of k blocks, to the k pairs of blocks (lo, hi) that a row's own block b takes part in."""
+    b, lo, hi = names
+    sizes = cut(rows.groupBy(*cell).agg(F.count("*").alias("n")).where("n > 1"))
+    sized = rows.join(sizes.select(*cell, F.ceil(F.col("n") / F.lit(cap)).cast("int").alias("k")), cell)
+    own = sized.withColumn(b, F.pmod(F.xxhash64("rep", F.lit(b)), F.col("k").cast("long")).cast("int"))
+    every = own.select(*rows.columns, b, F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
+    return every.select(*rows.columns, b, F.least(b, "o").alias(lo), F.greatest(b, "o").alias(hi))
+
+
+def near_duplicates(vectors: DataFrame, least: float = 0.9, bucket_rows: int = 32, bucket_cap: int = 4096, sifted_cap: int = 256, id_column: str = "vec_id", column: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row."""
-    spark = vectors.sparkSession
-    ship(spark)
+    ship(vectors.sparkSession)
     v = F.col(column).cast("array<double>")
     usable = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))) & F.exists(v, lambda e: e != 0)
-    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.when(F.coalesce(usable, F.lit(False)), v).alias("v"))
-    sizes = rows.where("v IS NOT NULL").groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    dim = sizes[0].d if sizes else 1
-    rows = cut(rows.select("vec_id", F.when(F.size("v") == dim, F.col("v")).alias("v")))
-    distinct = rows.where("v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("low"), F.count("*").alias("weight"))
+    rows = cut(vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.when(F.coalesce(usable, F.lit(False)), v).alias("v")))
+    out = rows.where("v IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    for row in rows.where("v IS NOT NULL").select(F.size("v").alias("d")).distinct().orderBy("d").collect():  # different lengths
+        out = out.union(_of_one_length(rows.where(F.size("v") == row.d), row.d, least, bucket_rows, bucket_cap, sifted_cap))
+    return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def _of_one_length(rows: DataFrame, dim: int, least: float, bucket_rows: int, bucket_cap: int, sifted_cap: int) -> DataFrame:
+    spark = rows.sparkSession
+    distinct = rows.groupBy("v").agg(F.min("vec_id").alias("low"), F.count("*").alias("weight"))
     distinct = cut(distinct.select(F.monotonically_increasing_id().alias("rep"), "v", "low", "weight"))
     total = distinct.count()
     sample = distinct.select("v").orderBy(F.xxhash64("v")).limit(SAMPLE).toPandas()["v"]
@@ -175,13 +194,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, bucket_rows: int = 3
         return pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(key), pa.array(home), *map(pa.array, code[at].view(np.int64).T.copy()), b.column(2).take(pa.array(at))], ["rep", "key", "home", *names, "weight"])
 
     dealt = cut(by_batch(distinct.select("rep", "v", "weight"), deal, f"rep long, key long, home boolean, {longs}, weight long"))
-    loads = cut(dealt.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("int")).alias("h")).where("h > 0 AND n > 1"))
+    homes = dealt.groupBy("key").agg(F.max("home").alias("any")).where("any").select("key")
+    placed = in_blocks(dealt.join(homes, "key"), ["key"], bucket_cap, ("b", "lo", "hi"))
     n_tasks = max(64, total * len(parts) * (2 + parts[0][2] // 2) // TASK_ROWS)
-    # a row of a bucket of k blocks goes to the k tasks that its block takes part in
-    loads = loads.select("key", F.ceil(F.col("n") / F.lit(bucket_cap)).cast("int").alias("k"))
-    placed = dealt.join(loads, "key").withColumn("b", F.pmod(F.xxhash64("rep"), F.col("k").cast("long")).cast("int"))
-    placed = placed.select("rep", "key", "home", *names, "weight", "b", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("o"))
-    placed = placed.select("rep", "key", "home", *names, "weight", "b", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"))
     task = F.pmod(F.xxhash64("key", "lo", "hi"), F.lit(n_tasks)).alias("task")
 
     def sift(group: pa.Table) -> pa.Table:
@@ -189,8 +204,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, bucket_rows: int = 3
         group = group.combine_chunks()
         _, parts = model.value
         used = np.zeros(group.num_rows, bool)
-        for t, at, home, code, side in segments(group):
-            for a, b in candidates(home, code, parts[:t], WITHIN, side):
+        for t, at, home, code, sides in segments(group):
+            for a, b in candidates(home, code, parts[:t], WITHIN, sides):
                 used[at[a]] = used[at[b]] = True
         return group.filter(pa.array(used)).drop_columns(["task"])
 
@@ -200,9 +215,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, bucket_rows: int = 3
         rep, weight = group.column("rep").to_numpy(), group.column("weight").to_numpy()
         x = unit(group.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
         out = [(np.empty(0, np.int64),) * 3]
-        for t, at, home, code, side in segments(group):
+        for t, at, home, code, sides in segments(group):
             links, label = np.zeros(len(at), np.int64), np.arange(len(at))
-            for a, b in candidates(home, code, parts[:t], WITHIN, side):
+            for a, b in candidates(home, code, parts[:t], WITHIN, sides):
                 for i in range(0, len(a), 1 << 16):
                     p, q = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
                     near = np.einsum("ij,ij->i", x[at[p]], x[at[q]]) >= least
@@ -215,8 +230,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, bucket_rows: int = 3
         return pa.table(dict(zip(("rep", "links", "part"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     columns = f"rep long, key long, home boolean, {longs}, weight long, b int, lo int, hi int"
-    near = placed.select("*", task).drop("o").groupBy("task").applyInArrow(sift, columns)
-    near = cut(near).join(distinct.select("rep", "v"), "rep").select("*", task)
+    near = placed.select("*", task).groupBy("task").applyInArrow(sift, columns)
+    near = in_blocks(cut(near), ["key", "lo", "hi"], sifted_cap, ("b2", "lo2", "hi2"))
+    task = F.pmod(F.xxhash64("key", "lo", "hi", "lo2", "hi2"), F.lit(n_tasks)).alias("task")
+    near = near.join(distinct.select("rep", "v"), "rep").select("*", task)
     near = near.groupBy("task").applyInArrow(link, "rep long, links long, part long")
     counted = cut(near)
     links = counted.groupBy("rep").agg(F.sum("links").alias("links"))
@@ -225,9 +242,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, bucket_rows: int = 3
     least_id = named.groupBy("root").agg(F.min("low").alias("component_id"))
     known = distinct.select("rep", "v", "weight").join(links, "rep", "left").join(named.select("rep", "root").join(least_id, "root"), "rep")
     known = cut(known.select("v", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id"))
-    out = rows.where("v IS NOT NULL").join(known, "v").select("vec_id", "n_links", "component_id")
-    out = out.union(rows.where("v IS NULL").select("vec_id", F.lit(0).cast("long"), "vec_id"))
-    return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return rows.join(known, "v").select("vec_id", "n_links", "component_id")
 
 
 def op9_embeddings(spark, sf_dir):
