@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+import time
 import zlib
 
 import duckdb
@@ -59,6 +60,72 @@ def test_html():
     assert html_text.extract(plain) == " ".join(["long text of the story"] * 6)
 
 
+def test_html_density_as_written_out():
+    """Counts, densities, sums and the core of random trees, each by the definition from the node alone."""
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        source = "<body>"
+        for _ in range(60):
+            source += rng.choice(["<div>", "<p>", "</div>", "<a href=x>go on</a>", "<section>", "</section>", "some words here ", "a longer stretch of text, with commas, " * 3, "<b>bold</b>", "<br>"])
+        top = html_text.parse(source)
+        nodes = html_text.walk(top)
+        html_text.weigh(nodes)
+
+        def below(x):
+            return [y for c in x.items if isinstance(c, html_text.Node) for y in (c, *below(c))]
+
+        def chars(x):
+            return sum(len("".join(c.split())) if isinstance(c, str) else chars(c) for c in x.items)
+
+        def density(x):
+            own = [y for y in below(x) if y.tag != "br"]
+            links = [y for y in own if y.tag == "a"]
+            in_links = chars(x) if x.tag == "a" else sum(map(chars, links))
+            share = sum(chars(y) for y in below(top) if y.tag == "a") / max(1, chars(top))
+            return html_text.composite(chars(x), len(own), in_links, len(links), share)
+
+        totals = [sum(density(c) for c in x.items if isinstance(c, html_text.Node)) for x in nodes]
+        assert np.allclose([x.density for x in nodes], [density(x) for x in nodes]) and np.allclose([x.total for x in nodes], totals)
+        if max(totals):
+            assert html_text.core(nodes) is nodes[int(np.argmax(np.round(totals, 9)))]
+
+
+def test_html_by_density_alone():
+    story = [f"paragraph {k} of a story that goes on for quite some words, as stories do when told at length" for k in range(8)]
+    links = "<div><ul>" + "<li><a href=x>go here</a>" * 20 + "</ul></div>"
+    first, second = ("".join(f"<p>{t}</p>" for t in part) for part in (story[:5], story[5:]))
+    page = f"<body>{links}<div>We use biscuits.</div><div><h1>Title</h1><div>{first}</div><div>{links}</div><div>{second}</div></div><div>Bob: no.</div>{links}</body>"
+    assert html_text.extract(page) == " ".join(["Title", *story])  # the second part hangs on the path and reaches the threshold
+    nodes = html_text.walk(html_text.parse(page))
+    html_text.weigh(nodes)
+    best = html_text.core(nodes)
+    assert best.tag == "div" and best.chars == sum(len(t.replace(" ", "")) for t in story[:5])
+
+
+@pytest.mark.parametrize("named", ['class="content has-sidebar"', 'class="post-content social-enabled"', 'class="hentry post comments-open"', 'class="article-body with-comments"', 'class="page-wrap header-fixed"', 'class="wrapper footer-sticky"', 'class="entry hidden-print"', 'id="content-side-by-side"', "class=sidebar"])
+def test_html_class_is_weak_evidence(named):
+    story = [f"paragraph {k} of a story that goes on for quite some words" for k in range(6)]
+    page = f"<body><div class=menu><a href=x>a</a></div><div {named}>" + "".join(f"<p>{t}</p>" for t in story) + "</div><div class='comment-list'><p>reader says no</p></div><div class=ad>Buy!</div></body>"
+    assert html_text.extract(page) == " ".join(story)
+
+
+def test_html_broken_and_deep_pages():
+    assert html_text.extract("<body><p title=it's>one two</p><p>it's three</p></body>") == "one two it's three"
+    assert html_text.extract("<p data-class=ad title='a>b' x=\"c>d\">kept<!--> and this --></p>") == "kept and this -->"
+    for page in ("<div>" * 100_000 + "deep" + "</div>" * 100_000, "<div><i>" + "<span>" * 50_000 + "deep" + "</div></i>" * 50_000, "<b>" * 100_000 + "deep" + "</i>" * 100_000):
+        start = time.perf_counter()
+        assert html_text.extract(page) == "deep" and time.perf_counter() - start < 10
+
+
+def test_html_table(spark):
+    schema = "page_id long, url string, html string, text string, n_chars string"
+    data = [(1, "u", "<p>a  b</p>", "x", "y"), (1, "u", "<p>a  b</p>", "x", "y"), (None, None, "<p>c</p>", None, None), (3, "v", None, "x", "y"), (4, "w", " ", "x", "y"), (5, "z", "<p>é&amp;" + "w " * 700_000, "x", "y")]
+    got = html_text.main_text(spark.createDataFrame(data, schema).repartition(2)).collect()
+    want = [(i, u, html_text.extract(h), len(html_text.extract(h))) for i, u, h, *_ in data]
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key) and want[5][3] == 1_400_001 and want[3][2] == ""
+    assert html_text.main_text(spark.createDataFrame([], schema)).collect() == []
+
+
 def test_simhash(spark, docs, none):
     def plain(t):
         w = regex.findall(rb"[^\x20\x09-\x0d]+", t.encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))))

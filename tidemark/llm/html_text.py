@@ -3,11 +3,17 @@
 A page becomes a tree of elements. Every element gets its density: characters per tag, adjusted by the share of them
 that links hold and by the page's own share. An element's density sum is the sum of its children's densities; the
 subtree with the largest one is the core of the main text. The least density on the path from there to the body is
-the threshold by which the core is widened to ancestors. Elements that are known not to be main text (navigation,
-forms, adverts, comments and the like, by element name, role or class) count for nothing and give no text.
+the threshold for what hangs on that path beside the core: a subtree belongs to the main text if its density reaches
+the threshold and its own largest density sum is at least SHARE of the core's. Inside an article element all of the
+path's other subtrees belong to it, too, and so does a first heading if the core has none.
+
+Elements that by name, role or attribute aren't main text (navigation, forms, hidden elements and the like) count for
+nothing and give no text. Names in class and id are weak evidence: a class counts if all of its words do, and an
+element that holds most of the page's text isn't dropped for it (see `doubted`).
 
 Defined results: null or blank html and a page without main text give an empty string; unclosed and stray tags are
-mended as browsers do; repeated rows are each returned; other columns than page_id and url are not carried.
+mended as browsers do; time grows linearly with the page, however deep it is; null page_id and url are carried;
+repeated rows are each returned; other columns than page_id and url are not carried; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,6 +21,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import defaultdict
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,54 +41,91 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 NAMED = frozenset(
     "ad ads adv advert adverts advertisement advertising adsbygoogle banner banners sponsor sponsored sponsors promo promos promotion promoted cookie cookies consent gdpr notice notices notification alert popup pop modal overlay newsletter subscribe subscription paywall sidebar side rail menu menus nav navbar navigation breadcrumb breadcrumbs footer foot header masthead topbar comment comments disqus reply replies respond discussion share sharing social related recommended recommendations widget widgets login signin signup register search pagination pager toolbar copyright legal disclaimer hidden skip".split()
 )
+#: Words that may stand beside them and say nothing else.
+NEUTRAL = frozenset("site page global top bottom left right upper lower primary secondary user users reader readers box wrap wrapper container inner outer block area section zone slot list links bar row col unit item group panel text body js the our us up".split())
 #: An open element of the first name ends when one of the others begins.
 CLOSES = {
     "p": frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split()),
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "option": frozenset(["option", "optgroup"]),
     "tr": frozenset(["tr", "tbody", "tfoot", "thead"]), "td": frozenset(["td", "th", "tr", "tbody", "tfoot", "thead"]), "th": frozenset(["td", "th", "tr", "tbody", "tfoot", "thead"]),
 }
+#: For a beginning element, the open ones that it ends.
+ENDS = {tag: [x for x, names in CLOSES.items() if tag in names] for tag in BLOCK if any(tag in names for names in CLOSES.values())}
 SCOPES = frozenset("table td th ul ol dl body html article section div".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var label".split())
-_markup = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_attribute = re.compile(r"(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?(?=[\s/>]|\Z)", re.I)
-_named = re.compile(r"[A-Za-z][a-z]*")
-_white = re.compile(r"[ \t\n\r\f]+")
+_markup = re.compile(
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+\"[^\"]*+(?:\"|\Z)|=\s*+'[^']*+(?:'|\Z)|[^>])*+)(?:>|\Z)", re.S)
+_attribute = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?(?=[\s/>]|\Z)", re.I)
+_named = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+
+
+#: Of the core's density sum, what another subtree needs at least. Of the page's text, what an element holds that isn't
+#: dropped for its class if it has a heading or an article, and what it holds if it has none.
+SHARE, MOST, NEARLY_ALL = 0.15, 0.5, 0.8
+_weighty = frozenset("article main h1 h2".split())
 
 
 class Node:
-    __slots__ = ("tag", "up", "items", "off", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "up", "items", "off", "named", "weighty", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, up: Node | None, off: bool):
-        self.tag, self.up, self.items, self.off = tag, up, [], off
+    def __init__(self, tag: str, up: Node | None, off: bool = False, named: bool = False):
+        self.tag, self.up, self.items, self.off, self.named, self.weighty = tag, up, [], off, named, tag in _weighty
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def not_main(tag: str, attributes: str, within_article: bool) -> bool:
-    """Whether an element by its name, role, class or id holds something else than main text."""
+def says(name: str) -> bool:
+    """Whether a class or an id says by all of its words that an element isn't main text."""
+    words = [w.lower() for w in _named.findall(name)]
+    return any(w in NAMED for w in words) and all(w in NAMED or w in NEUTRAL for w in words)
+
+
+def not_main(tag: str, attributes: str, within_article: bool) -> tuple[bool, bool]:
+    """Whether an element isn't main text, by name, role or being hidden; whether its class or id says so."""
     if tag in DROPPED or tag == "header" and not within_article:
-        return True
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
-    for name, a, b, c in _attribute.findall(attributes):
-        value = (a or b or c).strip().lower()
-        name = name.lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES or name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-        if name in ("class", "id") and not (within_article and "header" in value and tag in ("header", "div", "h1")):
-            if not NAMED.isdisjoint(x.lower() for x in _named.findall(a or b or c)):
-                return True
-    return False
+        return True, False
+    named = False
+    if attributes and tag not in ("html", "body", "article", "main"):
+        for name, a, b, c in _attribute.findall(attributes):
+            value = (a or b or c).strip()
+            name, low = name.lower(), value.lower()
+            if name == "hidden" or name == "aria-hidden" and low == "true" or name == "role" and low in ROLES or name == "style" and "display:none" in low.replace(" ", ""):
+                return True, False
+            if name in ("class", "id") and not (within_article and "header" in low and tag in ("header", "div", "h1")):
+                named = named or any(map(says, value.split()))
+    return False, named
 
 
 def parse(source: str) -> Node:
-    """The tree of a page; a node's items are its children and pieces of text in order."""
-    top = here = Node("html", None, False)
-    depth_article, at, n = 0, 0, len(source)
+    """The tree of a page; a node's items are its children and pieces of text in order.
+
+    `places` has the depths at which elements of a name are open, so that no tag needs a walk up the tree."""
+    top = Node("html", None)
+    path, places, blocks, scopes = [top], defaultdict(list), [0], [0]
+    at, n = 0, len(source)
 
     def text(s: str) -> None:
-        if s and not here.off:
-            here.items.append(entities.unescape(s) if "&" in s else s)
+        if s and not path[-1].off:
+            path[-1].items.append(entities.unescape(s) if "&" in s else s)
+
+    def enter(node: Node) -> None:
+        depth = len(path)
+        places[node.tag].append(depth)
+        if node.tag in BLOCK:
+            blocks.append(depth)
+        if node.tag in SCOPES and node.tag not in INLINE:
+            scopes.append(depth)
+        path.append(node)
+
+    def leave(depth: int) -> None:
+        """Close all elements from this depth on."""
+        while len(path) > depth:
+            places[path.pop().tag].pop()
+        while blocks[-1] >= depth:
+            blocks.pop()
+        while scopes[-1] >= depth:
+            scopes.pop()
 
     while at < n:
         m = _markup.search(source, at)
@@ -97,39 +141,28 @@ def parse(source: str) -> Node:
             continue
         tag = tag.lower()
         if m.group(1):
-            node = here
-            while node is not top and node.tag != tag:
-                if tag in INLINE and node.tag in BLOCK:
-                    break  # a stray end of an inline element ends no block
-                node = node.up
-            if node is not top and node.tag == tag:
-                here = node.up
-            elif tag == "p" and not here.off:
-                here.items.append(Node("p", here, False))
+            if places[tag]:
+                if tag not in INLINE or places[tag][-1] > blocks[-1]:  # a stray end of an inline element ends no block
+                    leave(places[tag][-1])
+            elif tag == "p" and not path[-1].off:
+                path[-1].items.append(Node("p", path[-1]))
             continue
-        if tag in ("html", "body") and tag != "body":
+        if tag == "html":
             continue
-        if tag in BLOCK and tag != "br":
-            node = here
-            while node is not top and (node.tag in INLINE or node.tag not in SCOPES):
-                if tag in CLOSES.get(node.tag, ()):
-                    here = node.up
-                    break
-                node = node.up
-            else:
-                if node is not top and tag in CLOSES.get(node.tag, ()):
-                    here = node.up
+        if tag in ENDS:
+            ends = max((places[x][-1] for x in ENDS[tag] if places[x]), default=0)
+            if ends and ends >= scopes[-1]:
+                leave(ends)
         attributes = m.group(3) or ""
-        within, node = False, here
-        while node is not None and not within:
-            within, node = node.tag in ("article", "main"), node.up
-        new = Node(tag, here, here.off or not_main(tag, attributes, within))
+        here = path[-1]
+        off, named = not_main(tag, attributes, bool(places["article"] or places["main"]))
+        new = Node(tag, here, here.off or off, named)
         here.items.append(new)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(source, at)
             at = end.end() if end else n
         elif tag not in VOID and not attributes.rstrip().endswith("/") or tag in BLOCK and tag not in VOID:
-            here = new
+            enter(new)
     return top
 
 
@@ -144,11 +177,27 @@ def walk(top: Node) -> list[Node]:
     return out
 
 
+def own_chars(node: Node) -> int:
+    return sum(len(w) for x in node.items if isinstance(x, str) for w in x.split())
+
+
+def doubted(nodes: list[Node]) -> None:
+    """Drop elements whose class says that they aren't main text, unless they hold most of the text."""
+    top, held = nodes[0], {}
+    for node in reversed(nodes):
+        held[id(node)] = held.get(id(node), 0) + own_chars(node)
+        if node.up is not None:
+            held[id(node.up)] = held.get(id(node.up), 0) + held[id(node)]
+            node.up.weighty |= node.weighty
+    for node in nodes:
+        if node.named and held[id(node)] <= (MOST if node.weighty else NEARLY_ALL) * held[id(top)]:
+            node.off = True
+
+
 def weigh(nodes: list[Node]) -> None:
     """Counts, densities and density sums of all nodes."""
     for node in reversed(nodes):
-        own = sum(len(_white.sub("", x)) for x in node.items if isinstance(x, str))
-        node.chars += own
+        node.chars += own_chars(node)
         if node.tag == "a":
             node.link_chars = node.chars
         if node.up is not None:
@@ -160,52 +209,80 @@ def weigh(nodes: list[Node]) -> None:
     body = nodes[0]
     share = body.link_chars / max(1, body.chars)
     for node in reversed(nodes):
-        if node.chars:
-            plain = node.chars - node.link_chars
-            base = math.log(node.chars * node.link_chars / max(1, plain) + share * node.chars + math.e)
-            ratio = node.chars / max(1, node.link_chars) * max(1, node.tags) / max(1, node.link_tags)
-            node.density = node.chars / max(1, node.tags) * math.log(max(ratio, 1.0) + 1) / math.log(base + 1)
+        node.density = composite(node.chars, node.tags, node.link_chars, node.link_tags, share)
         if node.up is not None:
             node.up.total += node.density
 
 
-def core(top: Node) -> Node | None:
-    """The node whose text is the main text."""
+def composite(chars: int, tags: int, link_chars: int, link_tags: int, page_share: float) -> float:
+    """Composite text density of an element; logarithms are shifted by one, so that they exist without links, too."""
+    if not chars:
+        return 0.0
+    base = math.log(chars * link_chars / max(1, chars - link_chars) + page_share * chars + math.e)
+    ratio = chars / max(1, link_chars) * max(1, tags) / max(1, link_tags)
+    return chars / max(1, tags) * math.log(max(ratio, 1.0) + 1) / math.log(base + 1)
+
+
+def core(nodes: list[Node]) -> Node:
+    """The node with the largest density sum; the first one of equals."""
+    best = max(nodes, key=lambda x: x.total)
+    return best if best.total else max(nodes, key=lambda x: x.density)
+
+
+def narrow(top: Node) -> bool:
+    """Cut from the tree what isn't main text; whether anything is left."""
     nodes = walk(top)
+    if any(x.named for x in nodes):
+        doubted(nodes)
+        nodes = walk(top)
     weigh(nodes)
-    body = nodes[0]
-    if not body.chars:
-        return None
-    best = max(nodes, key=lambda x: x.total if x.chars else -1.0)
-    if not best.total:
-        best = max(nodes, key=lambda x: x.density)
-    path, node = [best], best
-    while node.up is not None:
-        node = node.up
-        path.append(node)
+    if not nodes[0].chars:
+        return False
+    best = core(nodes)
+    path = [best]
+    while path[-1].up is not None:
+        path.append(path[-1].up)
     threshold = min(x.density for x in path)
-    chosen = best
-    for node in path[1:]:
-        if node.tag in ("body", "html"):
-            break
-        # an ancestor is main text too if what it adds is no thinner than the page and not mostly links
-        more, links = node.chars - chosen.chars, node.link_chars - chosen.link_chars
-        if node.density < threshold or links > 0.3 * max(1, more):
-            break
-        chosen = node
-    inside = next((x for x in path[path.index(chosen) :] if x.tag in ("article", "main")), None)
-    return inside or chosen
+    if best.tag in ("body", "html"):  # all of the page but lists of links thinner than it
+        best.items = [x for x in best.items if isinstance(x, str) or x.density >= threshold or 2 * x.link_chars <= x.chars]
+        return True
+    largest = {id(x): x.total for x in nodes}  # density sum of any node of the subtree
+    headed = set()
+    for node in reversed(nodes):
+        if node.tag == "h1" and node.chars:
+            headed.add(id(node))
+        if node.up is not None:
+            largest[id(node.up)] = max(largest[id(node.up)], largest[id(node)])
+            if id(node) in headed:
+                headed.add(id(node.up))
+    articles = [k for k, x in enumerate(path) if x.tag == "article"]
+    title = id(best) in headed
+    for k, node in enumerate(path[1:], 1):
+        if articles and k <= articles[-1]:
+            title = title or id(node) in headed
+            continue
+        found = []
+        for x in node.items:
+            if isinstance(x, str) or x.off:
+                continue
+            if x is path[k - 1] or x.density >= threshold and largest[id(x)] >= SHARE * best.total:
+                found.append(x)
+            elif x.tag == "h1" and not title:
+                found.append(x)
+                title = True
+        node.items = found
+    return True
 
 
 def extract(source: str | None) -> str:
     """Main text of a page: white space is one space, blocks are joined by one."""
     if not source or not source.strip():
         return ""
-    chosen = core(parse(source))
-    if chosen is None:
+    top = parse(source)
+    if not narrow(top):
         return ""
     out: list[str] = []
-    todo: list = [chosen]
+    todo: list = [top]
     while todo:
         x = todo.pop()
         if isinstance(x, str):
