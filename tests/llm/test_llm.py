@@ -17,7 +17,7 @@ import tiktoken
 import xxhash
 from tokenizers import Tokenizer
 
-from tidemark.llm import bpe, embeddings, html_text, language_model, packing, quality_rules, sharding, similar, simhash, token_counts, weak_label
+from tidemark.llm import bpe, common, embeddings, html_text, language_model, packing, quality_rules, sharding, similar, simhash, token_counts, weak_label
 
 SCHEMA = "doc_id long, text string, component_id long, kept boolean, size long, _words string"
 
@@ -450,11 +450,25 @@ def test_pipeline(spark):
     second = c.quality_classifier_stage(spark, first, sf)
     third = c.near_duplicates_stage(spark, second, sf)
     assert first.columns == second.columns == third.columns == docs.columns
-    found = simhash.near_duplicates(second).collect()
-    assert sorted(r.doc_id for r in third.select("doc_id").collect()) == sorted({r.component_id for r in found})
+    left = second.orderBy("doc_id").select("doc_id", "text").collect()
+    group, _ = five_word_components([r.text for r in left])
+    assert sorted(r.doc_id for r in third.select("doc_id").collect()) == sorted({left[g].doc_id for g in group})
+    packed = c.packing_stage(spark, third, sf).toPandas()
+    assert set(packed["doc_id"]) == {r.doc_id for r in third.collect()} and (packed.groupby("sequence_id")["length"].sum() <= 2048).all()
     assert c.run(spark, sf).select("doc_id").distinct().count() == third.count()
 
 
+def test_checkpoints_need_a_shared_folder():
+    class Context:
+        master = "spark://there:7077"
+        _jsc = type("J", (), {"sc": lambda self: self, "getCheckpointDir": lambda self: self, "isDefined": lambda self: False})()
+        getConf = staticmethod(dict)
+
+    frame = type("Frame", (), {"sparkSession": type("Session", (), {"sparkContext": Context()})()})()
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.cut(frame)
+
+
 def near_copies():
     """Texts with copies of every similarity about 0.8, by words changed here and there."""
     rng = np.random.default_rng(12)
