@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import by_batch, cut, ship, table
-from tidemark.llm.components import merge
+from tidemark.llm.components import forest, merge
 
 SAMPLE, ROUNDS, TASK_ROWS = 8192, 30, 50_000
 #: Of 64 bits: vectors at cosine 0.9 differ in 9 on average, with a deviation under 3.
@@ -125,20 +125,6 @@ def segments(table: pa.Table):
             yield int(cell[0][one] % 64), at, home[at], code[at], sides
 
 
-def forest(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Least labels after the pairs (a, b) are joined."""
-    while True:
-        before = label.copy()
-        low = np.minimum(label[a], label[b])
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
-        np.minimum.at(label, a, low)
-        np.minimum.at(label, b, low)
-        label = label[label]
-        if (label == before).all():
-            return label
-
-
 def in_blocks(rows: DataFrame, cell: list[str], cap: int, names: tuple[str, str, str]) -> DataFrame:
     """Rows of a cell of k blocks, to the k pairs of blocks (lo, hi) that a row's own block b takes part in."""
     b, lo, hi = names

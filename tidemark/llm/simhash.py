@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import by_batch, cut, ship
-from tidemark.llm.components import merge, min_label
+from tidemark.llm.components import forest, merge, min_label
 
 SEED = 42
 SAMPLE, SHARD_ROWS, LEAVES = 40_000, 8192, 1024
@@ -215,7 +215,11 @@ def near_duplicates(docs: DataFrame, size: int = 3, reach: int = 3, shard_rows:
         for m, p in local_parts(group.column("fp").to_numpy().astype(np.int64).view(np.uint64), reach):
             node.append(m)
             part.append(p)
-        return pa.table({"node": np.concatenate(node).view(np.int64), "part": np.concatenate(part).view(np.int64)})
+        # a fingerprint leaves a shard once, with the least member of its component there
+        own, at = np.unique(np.concatenate([*node, *part]), return_inverse=True)
+        a, b = np.split(at, 2)
+        label = forest(a, b, np.arange(len(own)))
+        return pa.table({"node": own.view(np.int64), "part": own[label].view(np.int64)})
 
     dealt = by_batch(distinct.select("fp"), deal, "fp long, shard long")
     members = merge(dealt.groupBy("shard").applyInArrow(link, "node long, part long"))
