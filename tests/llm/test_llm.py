@@ -210,13 +210,14 @@ def test_language_model(docs, none):
         total += np.exp(language_model.step(model, language_model.joined([np.array([5, token, 4000], np.int32)]), np.array([language_model.REACH + 1]))[0])
     assert abs(total - 1) < 1e-3
     assert np.isclose(language_model.log_likelihood(model, [text, text])[1], language_model.log_likelihood(model, [text])[0], atol=1e-4)
-    frequent, trained = language_model.train(docs)
+    frequent, trained, _ = language_model.train(docs)
     got = language_model.score(docs, frequent, trained).collect()
     by = {r.doc_id: r for r in got}
     assert len(got) == docs.count() and by[0].n_tokens == 0 and by[0].log_likelihood == 0 and by[8].n_tokens == 8000
     fresh = {r.doc_id: r for r in language_model.score(docs, frequent, language_model.fresh()).collect()}
     assert sum(r.log_likelihood for r in got) > sum(fresh[r.doc_id].log_likelihood for r in got)
-    assert language_model.score(none, *language_model.train(none)).collect() == []
+    frequent, trained, dealt = language_model.train(none)
+    assert language_model.score(none, frequent, trained).collect() == language_model.score_coded(dealt, trained).collect() == []
 
 
 def test_language_model_scores_as_written_out(spark):
@@ -247,8 +248,9 @@ def test_language_model_of_the_whole_corpus(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     nats, scores = [], []
     for n in (4, 64):
-        frequent, model = language_model.train(docs.repartition(n, "doc_id"), stream_tokens=1 << 14)  # 6 streams
+        frequent, model, dealt = language_model.train(docs.repartition(n, "doc_id"), stream_tokens=1 << 14)  # 6 streams
         got = {r.doc_id: r for r in language_model.score(docs, frequent, model).collect()}
+        assert all(np.isclose(got[r.doc_id].log_likelihood, r.log_likelihood, rtol=1e-4) for r in language_model.score_coded(dealt, model).collect())
         scores.append([got[k].mean_log_likelihood for k in sorted(got)])
         nats.append(-sum(r.log_likelihood for r in got.values()) / sum(r.n_tokens for r in got.values()))
     counts = language_model.vocabulary(docs)[1]

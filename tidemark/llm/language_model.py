@@ -215,20 +215,6 @@ def log_likelihood(model: dict, texts: list[np.ndarray]) -> list[float]:
     return out.tolist()
 
 
-def _grouped(texts: pa.Array, words: Words, most: int = GROUP) -> Iterator[list[np.ndarray]]:
-    """Ids of texts, in groups of bounded size; a longer text is a group."""
-    group, n = [], 0
-    for some in grouped(texts):
-        for x in words.ids(some):
-            group.append(x)
-            n += len(x)
-            if n >= most:
-                yield group
-                group, n = [], 0
-    if group:
-        yield group
-
-
 def vocabulary(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """The most frequent words of all documents, ties in order of the words, and how often each id occurs."""
 
@@ -250,29 +236,33 @@ def vocabulary(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return [r.w for r in own], total
 
 
-def train(docs: DataFrame, stream_tokens: int = STREAM_TOKENS) -> tuple[list[str], dict[str, np.ndarray]]:
-    """Vocabulary and model."""
-    spark = docs.sparkSession
-    ship(spark)
-    frequent, counts = vocabulary(docs)
-    model = fresh(counts)
-    if not frequent:
-        return frequent, model
-    streams = max(1, round(counts.sum() / (ROUNDS * stream_tokens)))
-    words_of = spark.sparkContext.broadcast(frequent)
+def coded(docs: DataFrame, frequent: list[str], streams: int = 1) -> DataFrame:
+    """(stream, round, h, doc_id, ids) of every document: ids of its words as 16-bit integers, dealt to streams."""
+    words_of = docs.sparkSession.sparkContext.broadcast(frequent)
     kept: dict[str, Words] = {}
 
     def code(b: pa.RecordBatch) -> pa.RecordBatch:
         words = kept.setdefault("w", Words(words_of.value))
-        ids = [x.astype(np.uint16).tobytes() for part in grouped(b.column(1)) for x in words.ids(part)]
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["h", "ids"])
+        ids = [x.astype(np.uint16).tobytes() for part in grouped(b.column(2)) for x in words.ids(part)]
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.binary())], ["h", "doc_id", "ids"])
 
-    text = F.col("text").cast("string")
-    h = F.xxhash64(F.lit(1), F.col("doc_id").cast("long"), text)
-    coded = by_batch(docs.where(text.isNotNull()).select(h.alias("h"), text.alias("text")), code, "h long, ids binary").where(F.length("ids") > 0)
+    text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    h = F.xxhash64(F.lit(1), doc_id, text)
+    found = by_batch(docs.select(h.alias("h"), doc_id.alias("doc_id"), text.alias("text")), code, "h long, doc_id long, ids binary")
     stream = F.pmod("h", F.lit(streams)).cast("int").alias("stream")
     turn = F.pmod(F.shiftrightunsigned("h", 32), F.lit(ROUNDS)).cast("int").alias("round")
-    coded = cut(coded.select(stream, turn, "h", "ids").repartitionById(streams, F.col("stream")).sortWithinPartitions("round", "stream", "h", "ids"))
+    return found.select(stream, turn, "h", "doc_id", "ids")
+
+
+def train(docs: DataFrame, stream_tokens: int = STREAM_TOKENS) -> tuple[list[str], dict[str, np.ndarray], DataFrame]:
+    """Vocabulary, model, and the coded documents."""
+    spark = docs.sparkSession
+    ship(spark)
+    frequent, counts = vocabulary(docs)
+    model = fresh(counts)
+    streams = max(1, round(counts.sum() / (ROUNDS * stream_tokens)))
+    dealt = coded(docs, frequent, streams)
+    dealt = cut(dealt.repartitionById(streams, F.col("stream")).sortWithinPartitions("round", "stream", "h", "ids"))
     width = -(-len(flat(model)) // BLOCKS)
     schema = "block int, part int, n long, v array<float>"
 
@@ -306,34 +296,42 @@ def train(docs: DataFrame, stream_tokens: int = STREAM_TOKENS) -> tuple[list[str
                 parts = [whole[i * width : (i + 1) * width] for i in range(BLOCKS)]
                 yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([stream % SPREAD] * BLOCKS, pa.int32()), pa.array([n] * BLOCKS, pa.int64()), pa.array(parts, pa.list_(pa.float32()))], ["block", "part", "n", "v"])
 
-        models = coded.where(F.col("round") == r).select("stream", "ids").mapInArrow(local, schema)
+        models = dealt.where((F.col("round") == r) & (F.length("ids") > 0)).select("stream", "ids").mapInArrow(local, schema)
         some = models.groupBy("block", "part").applyInArrow(total, schema)
         rows = some.groupBy("block").applyInArrow(total, schema).orderBy("block").collect()  # one model
         if rows:
             model = shaped(np.concatenate([np.array(x.v, np.float32) for x in rows]))
-    return frequent, model
+    return frequent, model, dealt
 
 
 def score(docs: DataFrame, frequent: list[str], model: dict[str, np.ndarray]) -> DataFrame:
     """(doc_id, n_tokens, log_likelihood, mean_log_likelihood) of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast((frequent, flat(model)))
-    kept: dict[str, tuple] = {}
+    ship(docs.sparkSession)
+    return score_coded(coded(docs, frequent), model)
+
+
+def score_coded(dealt: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
+    """As score(), for documents that are coded."""
+    shared = dealt.sparkSession.sparkContext.broadcast(flat(model))
+    kept: dict[str, dict[str, np.ndarray]] = {}
 
     def make(b: pa.RecordBatch) -> pa.RecordBatch:
-        if "m" not in kept:
-            kept["m"] = (Words(shared.value[0]), shaped(shared.value[1]))
-        words, net = kept["m"]
-        n, ll = [], []
-        for group in _grouped(b.column(1), words):
-            n += map(len, group)
-            ll += log_likelihood(net, group)
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ll, pa.float64())], ["doc_id", "n_tokens", "log_likelihood"])
-
-    out = by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), make, "doc_id long, n_tokens long, log_likelihood double")
+        if "net" not in kept:
+            kept["net"] = shaped(shared.value)
+        net = kept["net"]
+        every = [np.frombuffer(x, np.uint16).astype(np.int32) for x in b.column(1).to_pylist()]
+        n, ll, lo = np.array(list(map(len, every)), np.int64), [], 0
+        for hi in range(1, len(every) + 1):
+            if hi == len(every) or n[lo:hi].sum() >= GROUP:
+                ll += log_likelihood(net, every[lo:hi])
+                lo = hi
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(ll, pa.float64())], ["doc_id", "n_tokens", "log_likelihood"])
+
+    out = by_batch(dealt.select("doc_id", "ids"), make, "doc_id long, n_tokens long, log_likelihood double")
     return out.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")).otherwise(0.0))
 
 
 def op5_language_model(spark, sf_dir):
     """Pseudo-log-likelihood of every document under the network trained on all of them."""
-    docs = table(spark, sf_dir, "documents")
-    return score(docs, *train(docs))
+    _, model, dealt = train(table(spark, sf_dir, "documents"))
+    return score_coded(dealt, model)
