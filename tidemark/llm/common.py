@@ -55,12 +55,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def by_batch(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow with one function of a batch."""
+def by_batch(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int | None = None) -> DataFrame:
+    """mapInArrow with one function of a batch, or of at most `rows` rows of one where what is made of a row is large."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := make(batch)) is not None:
-                yield out
+            for lo in range(0, batch.num_rows, rows or max(1, batch.num_rows)):
+                if (out := make(batch.slice(lo, rows))) is not None:
+                    yield out
 
     return df.mapInArrow(run, schema)
