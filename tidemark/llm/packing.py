@@ -29,7 +29,7 @@ from tokenizers import Tokenizer
 from tidemark.llm.common import by_batch, cut, ship, table
 
 VOCABULARY, CAPACITY, END_ID = "word_bpe_49k.json", 2048, 0
-CACHE, LONG = 250_000, 48
+CACHE, LONG, ROWS = 150_000, 48, 2500
 #: Pieces of one length are ranked in parts of about SALT_ROWS, or of a SALTS-th of all.
 SALT_ROWS, SALTS = 20_000, 1 << 17
 #: Beyond these letters, or at this one, lower-casing and composing may depend on each other; with these
@@ -136,7 +136,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, w
         return pa.RecordBatch.from_arrays([doc, *cols], names)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), make, schema)
+    return by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), make, schema, ROWS)
 
 
 def fullest(left: dict[int, int], room: int) -> dict[int, int]:
