@@ -328,27 +328,27 @@ def ic_summary(spark, d):
     return rounded(ic.summary(ic_series(spark, d), KEYS))
 
 
-@query(rounded_sql(summary_sql(f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY factor, horizon ORDER BY date) - 1 AS k FROM ({IC_SQL})) WHERE k % 5 = 0"), "mean_ic std_ic ic_ir t_stat p_value", "factor horizon n_obs"))
+@query(rounded_sql(summary_sql(f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY factor, horizon ORDER BY date) - 1 AS k FROM ({IC_SQL})) WHERE k % horizon = 0"), "mean_ic std_ic ic_ir t_stat p_value", "factor horizon n_obs"))
 def ic_summary_nonoverlap(spark, d):
-    """Summary of every fifth value."""
-    return rounded(ic.summary(ic.every(ic_series(spark, d), KEYS, 5), KEYS))
+    """Summary of values that don't overlap, every h-th at horizon h."""
+    return rounded(ic.summary(ic.every(ic_series(spark, d), KEYS, F.col("horizon")), KEYS))
 
 
-_LAGS = " + ".join(f"{2 * (1 - k / 5)!r}e0 * coalesce(sum(u * u{k}), 0)" for k in range(1, 5))
+_LAGS = " + ".join(f"CASE WHEN {k} < horizon THEN 2 * (1 - {k} / CAST(horizon AS DOUBLE)) * coalesce(sum(u * u{k}), 0) ELSE 0 END" for k in range(1, max(HORIZONS)))
 
 
 @query(rounded_sql(f"""SELECT *, {p_sql('hac_t_stat')} AS hac_p_value FROM (SELECT factor, horizon, n_obs, mean_ic, CASE WHEN w > 0 THEN mean_ic * sqrt(n_obs) / sqrt(w / (n_obs - 1)) END AS hac_t_stat FROM (
-  SELECT factor, horizon, count(*) AS n_obs, avg(ic) AS mean_ic, sum(u * u) + {_LAGS} AS w FROM (SELECT *, {', '.join(f'lag(u, {k}) OVER o AS u{k}' for k in range(1, 5))} FROM (
+  SELECT factor, horizon, count(*) AS n_obs, avg(ic) AS mean_ic, sum(u * u) + {_LAGS} AS w FROM (SELECT *, {', '.join(f'lag(u, {k}) OVER o AS u{k}' for k in range(1, max(HORIZONS)))} FROM (
     SELECT *, ic - avg(ic) OVER (PARTITION BY factor, horizon) AS u FROM ({IC_SQL})) WINDOW o AS (PARTITION BY factor, horizon ORDER BY date)) GROUP BY factor, horizon))""", "mean_ic hac_t_stat hac_p_value", "factor horizon n_obs"))
 def ic_summary_hac(spark, d):
-    """Newey-West statistics with four lags."""
-    return rounded(ic.hac(ic_series(spark, d), KEYS, 4))
+    """Newey-West statistics, h - 1 lags at horizon h."""
+    return rounded(ic.hac(ic_series(spark, d), KEYS, F.col("horizon") - 1, max(HORIZONS) - 1))
 
 
 @query(rounded_sql(f"""SELECT factor, horizon, p_value, least(1.0e0, min(p_value * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)) AS bh_p, least(1.0e0, min(p_value * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)) <= 0.05 AS rejected
   FROM (SELECT *, row_number() OVER (ORDER BY p_value, factor, horizon) AS k, count(*) OVER () AS m FROM ({summary_sql(IC_SQL)}))""", "p_value bh_p", "factor horizon rejected"))
 def false_discovery(spark, d):
-    """Benjamini-Hochberg over all factors and horizons."""
+    """Benjamini-Hochberg over the factors of IC_FACTORS and all horizons."""
     found = ic.discoveries(ic.summary(ic_series(spark, d), KEYS), KEYS)
     return rounded(found.select(*KEYS, "p_value", "bh_p", "rejected"))
 

@@ -37,23 +37,28 @@ def summary(series: DataFrame, keys: list[str]) -> DataFrame:
     return s.withColumn("p_value", p_value(F.col("t_stat")))
 
 
-def hac(series: DataFrame, keys: list[str], lag: int) -> DataFrame:
-    """Summary with Newey-West t and p, Bartlett weights, autocovariances over n - 1."""
+def hac(series: DataFrame, keys: list[str], lag: int | Column, most: int | None = None) -> DataFrame:
+    """Summary with Newey-West t and p, Bartlett weights, autocovariances over n - 1.
+
+    The number of lags may be an expression of the keys whose largest value is `most`."""
+    most = lag if isinstance(lag, int) else most
+    lags = F.lit(lag) if isinstance(lag, int) else lag
     s = series.where("ic IS NOT NULL")
     group, order = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("date")
     u = s.withColumn("u", F.col("ic") - F.avg("ic").over(group))
-    u = u.select(*keys, "ic", "u", *(F.lag("u", k).over(order).alias(f"u{k}") for k in range(1, lag + 1)))
+    u = u.select(*keys, "ic", "u", *(F.lag("u", k).over(order).alias(f"u{k}") for k in range(1, most + 1)))
     weighted = F.sum(F.col("u") * F.col("u"))
-    for k in range(1, lag + 1):
-        weighted = weighted + 2.0 * (1.0 - k / (lag + 1)) * F.coalesce(F.sum(F.col("u") * F.col(f"u{k}")), F.lit(0.0))
+    for k in range(1, most + 1):
+        weight = F.when(F.lit(k) <= lags, 2.0 * (1.0 - k / (lags + 1))).otherwise(0.0)
+        weighted = weighted + F.first(weight) * F.coalesce(F.sum(F.col("u") * F.col(f"u{k}")), F.lit(0.0))
     out = u.groupBy(*keys).agg(F.count("*").alias("n_obs"), F.avg("ic").alias("mean_ic"), weighted.alias("w"))
     spread = F.try_divide(F.col("w"), F.col("n_obs") - 1)
     t = F.when(spread > 0, F.col("mean_ic") * F.sqrt("n_obs") / F.sqrt(F.nullif(F.greatest(spread, F.lit(0.0)), F.lit(0.0))))
     return out.select(*keys, "n_obs", "mean_ic", t.alias("hac_t_stat")).withColumn("hac_p_value", p_value(F.col("hac_t_stat")))
 
 
-def every(series: DataFrame, keys: list[str], h: int) -> DataFrame:
-    """Every h-th value of each series from its first."""
+def every(series: DataFrame, keys: list[str], h: int | Column) -> DataFrame:
+    """Every h-th value of each series from its first; h may be an expression of the keys."""
     k = F.row_number().over(Window.partitionBy(*keys).orderBy("date")) - 1
     return series.where("ic IS NOT NULL").withColumn("_k", k).where(F.col("_k") % h == 0).drop("_k")
 
