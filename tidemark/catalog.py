@@ -448,6 +448,34 @@ def outer_test(spark, d):
     return test.select("fold", "candidate", "trades", (F.round("total_net_pnl", 3) + F.lit(0.0)).alias("total_net_pnl"), (F.round("sharpe", 6) + F.lit(0.0)).alias("sharpe"))
 
 
+OUTER = f"""{FOUND}, z AS (SELECT s.* FROM ({COSTED}) s JOIN f ON s.exit_date = f.date AND f.part = 'test' JOIN ({CHOSEN}) c ON c.fold = f.fold AND c.candidate = s.candidate),
+  days AS (SELECT DISTINCT date FROM f WHERE part = 'test'),
+  e AS (SELECT scenario, date, sum(ret) OVER (PARTITION BY scenario ORDER BY date ROWS UNBOUNDED PRECEDING) AS equity, ret FROM (
+    SELECT k.scenario, days.date, coalesce(r.ret, 0) AS ret FROM (SELECT DISTINCT scenario FROM z) k CROSS JOIN days LEFT JOIN (SELECT scenario, exit_date, sum(net) / 100000.0e0 AS ret FROM z GROUP BY scenario, exit_date) r
+      ON r.scenario = k.scenario AND r.exit_date = days.date)),
+  v AS (SELECT scenario, count(*) AS days, avg(ret) / nullif(stddev_pop(ret), 0) * sqrt(252.0e0) AS sharpe, max(greatest(0, peak) - equity) AS max_drawdown FROM (
+    SELECT *, max(equity) OVER (PARTITION BY scenario ORDER BY date ROWS UNBOUNDED PRECEDING) AS peak FROM e) GROUP BY scenario),
+  y AS (SELECT v.*, w.* EXCLUDE (scenario) FROM v JOIN (SELECT scenario, {AGG} FROM z GROUP BY scenario) w ON w.scenario = v.scenario)
+  SELECT scenario, trades, days, concat_ws(',', CASE WHEN trades >= 100 THEN NULL ELSE 'trades' END, CASE WHEN sharpe > 0.5e0 THEN NULL ELSE 'sharpe' END, CASE WHEN mean_net_bps > 0 THEN NULL ELSE 'mean_net_bps' END,
+    CASE WHEN profit_factor < 1.1e0 THEN 'profit_factor' END) AS failed, {', '.join(f'round({c} + {off(4):.4e}, 4) + 0.0e0 AS {c}' for c in ('win_rate', 'profit_factor', 'mean_net_bps', 'total_net_pnl', 'sharpe', 'max_drawdown'))} FROM y"""
+
+
+@query(OUTER)
+def outer_decision(spark, d):
+    """The chosen candidates over all test days under each cost, and the final gates they fail."""
+    t = market.pseudo_trades(spark, d)
+    parts = walkforward.folds(walkforward.day_numbers(t))
+    chosen = walkforward.selected(walkforward.gated(walkforward.fold_metrics(t, parts)))
+    out = walkforward.decided(walkforward.outer(t, parts, chosen))
+    return rounded(out.select("scenario", "trades", "days", "failed", "win_rate", "profit_factor", "mean_net_bps", "total_net_pnl", "sharpe", "max_drawdown"), 4)
+
+
+@query(f"SELECT count(*) AS trade_count, min(exit_date) AS start, max(exit_date) AS \"end\" FROM ({PSEUDO})")
+def run_totals(spark, d):
+    """Totals of a run."""
+    return walkforward.totals(market.pseudo_trades(spark, d))
+
+
 @query(f"""WITH d AS ({DAYS}), t AS (SELECT count(*) AS total FROM d), b AS (SELECT date, n, CAST(least(floor(n / floor(total / 6)), 5) AS INT) AS block FROM d CROSS JOIN t WHERE total >= 7),
   s AS (SELECT block AS split, min(date) AS start FROM b WHERE block > 0 GROUP BY block)
   SELECT split, CASE WHEN block = split THEN 'validation' ELSE 'train' END AS part, date FROM b JOIN s ON block = split OR (block < split AND date < start - INTERVAL 25 DAY)""")

@@ -44,3 +44,18 @@ def comparison_verdict(tests: DataFrame, keys: list[str], alpha: float = 0.05) -
     out = tests.groupBy(*keys).agg(F.max("n").alias("_n"), better.alias("_better"), worse.alias("_worse"))
     verdict = F.when(F.col("_n") < 2, "insufficient_data").when(F.col("_better"), "significantly_better").when(F.col("_worse"), "significantly_worse").otherwise("no_significant_improvement")
     return out.select(*keys, verdict.alias("verdict"))
+
+
+SEVERITY = ("stable", "insufficient_data", "moderate", "significant")
+
+
+def worst(verdicts: DataFrame, keys: list[str]) -> DataFrame:
+    """The worst verdict of several metrics by key; without enough folds for any, stable."""
+    place = F.array_position(F.array(*map(F.lit, SEVERITY)), F.col("verdict"))
+    place = F.when(F.col("verdict") == "insufficient_data", F.lit(1)).otherwise(place)
+    return verdicts.groupBy(*keys).agg(F.element_at(F.array(*map(F.lit, SEVERITY)), F.max(place).cast("int")).alias("verdict"))
+
+
+def unpivoted(found: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """(keys, metric, value) of the named columns."""
+    return found.unpivot([*keys], [F.col(n).cast("double").alias(n) for n in names], "metric", "value")

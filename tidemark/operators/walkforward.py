@@ -63,6 +63,27 @@ def selected(gates: DataFrame) -> DataFrame:
     return gates.where("gate IS NULL AND val_sharpe IS NOT NULL").withColumn("k", F.row_number().over(best)).where("k = 1").select("fold", "candidate", "val_sharpe")
 
 
+def outer(trades: DataFrame, parts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Metrics by cost scenario of the chosen candidates' test trades, over the test days of all folds, chosen or not."""
+    days = parts.where("part = 'test'").select("fold", "date")
+    own = trades.join(F.broadcast(days), trades.exit_date == days.date).drop("date")
+    costed = metrics.with_costs(own.join(F.broadcast(chosen.select("fold", "candidate")), ["fold", "candidate"]))
+    returns = metrics.daily_returns(costed, ["scenario"], days.select("date").distinct())
+    return metrics.trade_metrics(costed, ["scenario"]).join(metrics.return_metrics(returns, ["scenario"]), "scenario")
+
+
+def decided(found: DataFrame) -> DataFrame:
+    """outer() with the final gates that each row fails, by name, joined by commas; none: a candidate."""
+    low = {"trades": F.col("trades") >= FINAL["trades"], "sharpe": F.col("sharpe") > FINAL["sharpe"], "mean_net_bps": F.col("mean_net_bps") > FINAL["mean_net_bps"]}
+    failed = [F.when(~F.coalesce(ok, F.lit(False)), k) for k, ok in low.items()]
+    return found.withColumn("failed", F.concat_ws(",", *failed, F.when(F.col("profit_factor") < FINAL["profit_factor"], "profit_factor")))
+
+
+def totals(trades: DataFrame, start: str = "exit_date", end: str = "exit_date") -> DataFrame:
+    """Number of trades of a run, its first and last day."""
+    return trades.agg(F.count("*").alias("trade_count"), F.min(start).alias("start"), F.max(end).alias("end"))
+
+
 def decision(row: dict) -> list[str]:
     """The final gates that aggregated outer metrics fail; none: a candidate."""
     failed = [k for k in ("trades",) if row[k] < FINAL[k]]
