@@ -7,6 +7,7 @@ two engines agree.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import calendar as cal
 from tidemark.functions.series import Series
 from tidemark.operators import bars, filtering, ic, intraday, lifecycle, metrics, monitor, quality, walkforward
-from tidemark.operators.factors import FACTORS, factors, factors_sql
+from tidemark.operators.factors import FACTORS, PLAN, factors, factors_sql
+from tidemark.plans.lineage import cut
 from tidemark.plans.staged import Columns
 from tidemark.sources import feed, market
 
@@ -62,7 +64,7 @@ def daily(spark, d) -> DataFrame:
 
 
 def panel(spark, d) -> DataFrame:
-    rows = daily(spark, d)
+    rows = cut(daily(spark, d))  # read for the symbols, the days and the values
     return bars.fill_forward(rows, rows.select("date").distinct())
 
 
@@ -266,36 +268,48 @@ for _n in sorted(FACTORS):
 
 # ---------------------------------------------------------------- information coefficients
 
-IC_FACTORS, HORIZONS = ["alpha012", "alpha033", "alpha041", "alpha042"], [1, 5, 20]
+HORIZONS = [1, 5, 20]
 
 
-def ic_series(spark, d) -> DataFrame:
-    p = panel(spark, d)
+def _ahead() -> tuple[Columns, dict[int, str]]:
+    """The plan of the ranks of forward returns."""
     cols = Columns(SERIES_BASE)
     s = Series(cols)
     forward = {h: s.ratio(s.row(f"{s.lead('close', h)} - close"), "close") for h in HORIZONS}
-    ahead = {h: s.rank01(x) for h, x in forward.items()}
-    r = cols.apply(p, list(ahead.values())).select("symbol", "date", *(F.col(x).alias(f"h{h}") for h, x in ahead.items()))
-    f = factors(p, IC_FACTORS)
-    ranked = Columns(["symbol", "date", *IC_FACTORS])
-    names = {n: Series(ranked).rank01(n) for n in IC_FACTORS}
-    both = ranked.apply(f, list(names.values())).join(r, ["symbol", "date"])
-    pairs = F.explode(F.array(*(F.struct(F.lit(n).alias("factor"), F.lit(h).alias("horizon"), F.col(x).alias("a"), F.col(f"h{h}").alias("b")) for n, x in names.items() for h in HORIZONS)))
-    return ic.rank_ic(both.select("date", pairs.alias("_p")).select("date", "_p.*"), ["factor", "horizon"])
+    return cols, {h: s.rank01(x) for h, x in forward.items()}
+
+
+AHEAD_PLAN, AHEAD = _ahead()
+#: Factors of one plan. Its windows each write all of its columns, so a plan of all factors costs their number squared.
+TOGETHER = 7
+
+
+def ic_series(spark, d) -> DataFrame:
+    """Rank IC of all factors. The panel and the ranks of its returns are written once and read by every plan."""
+    ranks = [F.col(x).alias(f"ahead_{h}") for h, x in AHEAD.items()]
+    p = cut(AHEAD_PLAN.apply(panel(spark, d), list(AHEAD.values())).select(*SERIES_BASE, *ranks))
+    returns = F.array(*(F.struct(F.lit(h).alias("horizon"), F.col(f"ahead_{h}").alias("b")) for h in HORIZONS))
+    names, rows = sorted(FACTORS), []
+    for k in range(0, len(names), TOGETHER):
+        some = names[k : k + TOGETHER]
+        values = F.array(*(F.struct(F.lit(n).alias("factor"), F.col(FACTORS[n]).cast("double").alias("value")) for n in some))
+        rows.append(PLAN.apply(p, [FACTORS[n] for n in some]).select("symbol", "date", values.alias("factors"), returns.alias("returns")))
+    return ic.rank_ic_of(reduce(DataFrame.unionAll, rows))
 
 
 def _ic_sql() -> str:
-    cols = Columns(SERIES_BASE)
-    s = Series(cols)
-    forward = {h: s.ratio(s.row(f"{s.lead('close', h)} - close"), "close") for h in HORIZONS}
-    ahead = {h: s.rank01(x) for h, x in forward.items()}
-    r = f"SELECT symbol, date, {', '.join(f'{x} AS h{h}' for h, x in ahead.items())} FROM ({cols.sql(PANEL, list(ahead.values()))})"
-    ranked = Columns(["symbol", "date", *IC_FACTORS])
-    names = {n: Series(ranked).rank01(n) for n in IC_FACTORS}
-    f = ranked.sql(factors_sql(PANEL, IC_FACTORS, 14), list(names.values()))
-    parts = " UNION ALL ".join(f"SELECT date, '{n}' AS factor, {h} AS horizon, {x} AS a, h{h} AS b FROM j" for n, x in names.items() for h in HORIZONS)
-    return f"""WITH r AS ({r}), f AS ({f}), j AS (SELECT f.*, {', '.join(f'h{h}' for h in HORIZONS)} FROM f JOIN r ON f.symbol = r.symbol AND f.date = r.date), p AS ({parts})
-      SELECT factor, horizon, date, CASE WHEN (n - 1) * sa * sb > 1e-12 THEN cov / (sa * sb) ELSE 0.0e0 END AS ic FROM (SELECT factor, horizon, date, count(*) AS n, covar_samp(a, b) AS cov, stddev_samp(a) AS sa, stddev_samp(b) AS sb
+    found = dict(sorted(FACTORS.items()))
+    ahead = f"SELECT {', '.join(SERIES_BASE)}, {', '.join(f'{x} AS ahead_{h}' for h, x in AHEAD.items())} FROM ({AHEAD_PLAN.sql(PANEL, list(AHEAD.values()))})"
+    wide = PLAN.sql(ahead, list(found.values()))
+    names = ", ".join(f"'{n}'" for n in found)
+    values = ", ".join(f"CAST({x} AS DOUBLE)" for x in found.values())
+    pairs = " UNION ALL ".join(f"SELECT factor, {h} AS horizon, date, a, ahead_{h} AS b FROM r" for h in HORIZONS)
+    return f"""WITH l AS (SELECT symbol, date, {', '.join(f'ahead_{h}' for h in HORIZONS)}, unnest([{names}]) AS factor, round(unnest([{values}]), 10) AS value FROM ({wide})),
+      k AS (SELECT *, count(value) OVER (PARTITION BY factor, date) AS n, row_number() OVER (PARTITION BY factor, date ORDER BY value ASC NULLS LAST, symbol) AS k FROM l),
+      r AS (SELECT *, CASE WHEN value IS NOT NULL AND n >= 2 THEN CAST(k - 1 AS DOUBLE) / (n - 1) END AS a FROM k),
+      p AS ({pairs})
+      SELECT factor, horizon, date, CASE WHEN (n - 1) * sa * sb > 1e-12 THEN cov / (sa * sb) ELSE 0.0e0 END AS ic
+      FROM (SELECT factor, horizon, date, count(*) AS n, covar_samp(a, b) AS cov, stddev_samp(a) AS sa, stddev_samp(b) AS sb
         FROM p WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY factor, horizon, date) WHERE n >= 2"""
 
 
@@ -318,7 +332,7 @@ KEYS = ["factor", "horizon"]
 
 @query(rounded_sql(IC_SQL, "ic", "factor horizon date"))
 def rank_ic(spark, d):
-    """Rank IC of factors against forward returns."""
+    """Rank IC of every factor against forward returns at every horizon."""
     return rounded(ic_series(spark, d))
 
 
@@ -348,7 +362,7 @@ def ic_summary_hac(spark, d):
 @query(rounded_sql(f"""SELECT factor, horizon, p_value, least(1.0e0, min(p_value * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)) AS bh_p, least(1.0e0, min(p_value * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING)) <= 0.05 AS rejected
   FROM (SELECT *, row_number() OVER (ORDER BY p_value, factor, horizon) AS k, count(*) OVER () AS m FROM ({summary_sql(IC_SQL)}))""", "p_value bh_p", "factor horizon rejected"))
 def false_discovery(spark, d):
-    """Benjamini-Hochberg over the factors of IC_FACTORS and all horizons."""
+    """Benjamini-Hochberg over all factors and horizons, 126 hypotheses."""
     found = ic.discoveries(ic.summary(ic_series(spark, d), KEYS), KEYS)
     return rounded(found.select(*KEYS, "p_value", "bh_p", "rejected"))
 

@@ -29,6 +29,19 @@ def rank_ic(ranked: DataFrame, keys: list[str]) -> DataFrame:
     return both.where("n >= 2").select(*keys, "date", ic.alias("ic"))
 
 
+def rank_ic_of(wide: DataFrame, digits: int = 10) -> DataFrame:
+    """IC by factor, horizon and date of rows (symbol, date, factors, returns).
+
+    `factors` is an array of (factor, value), `returns` one of (horizon, b) with ranks of forward returns. Values are
+    rounded and ranked within factor and date, ties by symbol; the sums by horizon reuse that exchange.
+    """
+    by = Window.partitionBy("factor", "date")
+    rows = wide.select("symbol", "date", "returns", F.inline("factors")).withColumn("value", F.round("value", digits))
+    n, k = F.count("value").over(by), F.row_number().over(by.orderBy(F.asc_nulls_last("value"), "symbol"))
+    ranked = rows.where("value IS NOT NULL").withColumn("_n", n).withColumn("a", F.when(F.col("_n") >= 2, (k - 1) / (F.col("_n") - 1)))
+    return rank_ic(ranked.select("factor", "date", "a", F.inline("returns")), ["factor", "horizon"])
+
+
 def summary(series: DataFrame, keys: list[str]) -> DataFrame:
     """n, mean, sample deviation, information ratio, t and p by key."""
     s = series.where("ic IS NOT NULL").groupBy(*keys).agg(F.count("*").alias("n_obs"), F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("std_ic"))
