@@ -131,6 +131,27 @@ def test_trades_against_a_loop(spark):
     assert len(got) > 500 and sorted(plain[0], key=str) == sorted(plain[1], key=str)
 
 
+@pytest.mark.parametrize(
+    ("after", "want"),
+    [
+        ([(102.5, 102.7, 102.2, 102.6), (102.6, 103.6, 102.4, 103.5)], ("target", 103.4, 97)),
+        ([(102.5, 102.7, 102.2, 102.6), (102.6, 103.6, 101.8, 103.5)], ("stop", 101.9, 97)),  # spans both
+        ([(102.5, 102.7, 102.2, 102.6), (101.0, 101.5, 100.0, 101.2)], ("stop", 101.0, 97)),  # opens below the stop
+        ([(102.5, 102.7, 102.2, 102.6)], ("session_close", 102.6, 97)),
+        ([], None),  # no bar to fill at
+    ],
+)
+def test_trades_known_answers(spark, after, want):
+    """Entry 102.5; 0.6 to the stop, 0.9 to the target."""
+    bars_ = [(100.0, 101.0, 99.5, 100.5), (100.5, 102.6, 100.4, 102.4), *after]
+    day = date(2024, 6, 3)
+    features = spark.createDataFrame([("S", day, k, 575 + 5 * k, *map(float, b)) for k, b in enumerate(bars_)], "symbol string, date date, idx int, bar_end int, open double, high double, low double, close double")
+    found = spark.createDataFrame([("S", day, "c", 1, 1.5, 60, 0.6, 1.0, 0.5, 101.0, 99.0)], "symbol string, date date, candidate_id string, idx int, target_r double, max_hold_minutes int, stop_atr_fraction double, atr double, stop_range_fraction double, or_high double, or_low double")
+    got = lifecycle.trades(features, found, 5).collect()
+    assert [(r.exit_reason, round(r.exit_price, 9), r.quantity) for r in got] == ([want] if want else [])
+    assert all(r.entry_price == 102.5 and r.entry_time == 580 for r in got)
+
+
 def test_monitoring_and_universe(spark):
     v = spark.createDataFrame([("a", k, x) for k, x in enumerate([1.0, 1.1, 0.9, 1.0, -3.0, -3.0, -3.0])], "candidate string, fold int, value double")
     assert monitor.drift(v, ["candidate"]).first().verdict == "significant"

@@ -9,7 +9,7 @@ import math
 
 import pytest
 
-from tidemark.operators import documents, filtering, lifecycle, monitor
+from tidemark.operators import documents, filtering, ic, lifecycle, monitor, quality
 from tidemark.sources import feed, market, store
 
 H = "a" * 64
@@ -124,6 +124,69 @@ def test_minute_files(spark, tmp_path):
     assert got == {"good": (2, None), "head": (0, "header"), "none": (0, "no rows"), "twice": (1, "line 3: repeated time"), "back": (1, "line 3: earlier time"), "text": (1, "line 3: no time"), "torn": (0, "gzip: EOFError")}
 
 
+def test_minute_files_between_days(spark, tmp_path):
+    head = "ts,open,high,low,close,volume\n"
+    for name, days in {"AA_2024-01-01_2024-01-31": ("2024-01-02", "2024-01-30"), "AA_2024-02-01_2024-02-29": ("2024-02-01",), "BB_2023-01-01_2023-12-31": ("2023-05-05",)}.items():
+        text = head + "".join(f"{d}T09:3{k}:00-05:00,1,2,0.5,1,{k}\n" for d in days for k in (0, 1, 1))
+        (tmp_path / f"{name}_1min.csv.gz").write_bytes(gzip.compress(text.encode()))
+    (tmp_path / "BB_2023-01-01_2023-12-31_1min.csv.gz").write_bytes(b"not opened, its days lie outside")
+    got = market.minute_csv_between(spark, str(tmp_path), dt.date(2024, 1, 15), dt.date(2024, 2, 10))
+    assert sorted((r.symbol, str(r.ts)) for r in got.collect()) == [("AA", f"2024-0{d} 09:3{k}:00") for d in ("1-30", "2-01") for k in (0, 1)]
+    assert market.minute_csv_between(spark, str(tmp_path), dt.date(2025, 1, 1), dt.date(2025, 1, 2)).count() == 0
+    rows = market.minute_rows(spark, f"{tmp_path}/AA_2024-01*").collect()
+    assert len(rows) == 6 and rows[0].ts == "2024-01-02T09:30:00-05:00" and rows[0].low == "0.5"
+
+
+def test_latest_files_and_trade_logs(spark, tmp_path):
+    for name in ("AA_2023-01-01_2023-12-31", "AA_2023-01-01_2024-06-30", "BB_2022-01-01_2022-12-31"):
+        (tmp_path / f"{name}_1min.csv.gz").write_bytes(b"x")
+    assert sorted((r.symbol, r.end) for r in market.latest_files(spark, str(tmp_path)).collect()) == [("AA", "2024-06-30"), ("BB", "2022-12-31")]
+    schema = "candidate_id string, symbol string, entry_time int, pnl double"
+    old = spark.createDataFrame([("c1", "A", 1, 1.0), ("c1", "A", 2, 2.0)], schema)
+    both = market.merge_trades(old, spark.createDataFrame([("c1", "A", 2, 9.0), ("c2", "A", 2, 3.0), ("c2", "A", 2, 3.0)], schema))
+    assert sorted(tuple(r) for r in both.collect()) == [("c1", "A", 1, 1.0), ("c1", "A", 2, 2.0), ("c2", "A", 2, 3.0)]
+    market.write_trades(both, str(tmp_path / "log"), 2)
+    assert sorted(r.pnl for r in market.read_trades(spark, str(tmp_path / "log")).collect()) == [1.0, 2.0, 3.0]
+    market.write_trades(both.unionByName(old), str(tmp_path / "twice"))
+    with pytest.raises(ValueError):
+        market.read_trades(spark, str(tmp_path / "twice"))
+
+
+def test_download_goes_on(spark, tmp_path):
+    down = tmp_path / "down"
+    down.touch()
+
+    def fetch(symbol, first, last):
+        if first.month == 2 and down.exists():
+            raise OSError("provider is down")
+        yield (dt.datetime.combine(first, dt.time(9, 30)), 1.0, 2.0, 0.5, 1.0, 10.0)
+
+    feed.register(spark, fetch, "feed_that_breaks", tries=1)
+    ask = (spark, str(tmp_path / "bars"), ["A", "B"], dt.date(2024, 1, 1), dt.date(2024, 3, 31), "feed_that_breaks")
+    with pytest.raises(Exception, match="provider is down"):
+        feed.download(*ask)
+    down.unlink()
+    assert feed.download(*ask) == [dt.date(2024, 2, 1), dt.date(2024, 3, 1)] and feed.download(*ask) == []
+    assert spark.read.parquet(f"{tmp_path}/bars/*").count() == 6
+
+
+def test_quality_report(spark):
+    found = spark.createDataFrame([("B", 100, 97, 0, 3, 7, 2, 3.0, True), ("A", 100, 99, 0, 1, 0, 1, 1.0, False)], "symbol string, total_sessions long, full_bar_sessions long, partial_sessions long, zero_bar_sessions long, stale_bar_count long, max_consecutive_gaps long, gap_rate_pct double, has_warning boolean")
+    made = quality.report(found, "2024-01-01", "2024-06-30", "2024-07-01")
+    assert [r["symbol"] for r in made["symbols"]] == ["A", "B"] and made["summary"] == {"any_warnings": True, "warned_symbols": ["B"]}
+    lines = {r.symbol: r.line.split() for r in quality.report_lines(found).collect()}
+    assert lines["A"] == ["A", "100", "99", "0", "1", "1.00", "1", "0"] and lines["B"][:8] == ["B", "100", "97", "0", "3", "3.00", "2", "7"] and len(lines["B"]) > 8
+
+
+def test_cutoff_and_shards(spark):
+    days = spark.createDataFrame([(dt.date(2024, 1, k),) for k in (1, 2, 3)], "date date")
+    assert ic.until(days, dt.date(2024, 1, 2), dt.date(2024, 1, 2)).count() == 2
+    with pytest.raises(ValueError):
+        ic.until(days, dt.date(2024, 1, 3), dt.date(2024, 1, 2))
+    parts = [[r.candidate_id for r in lifecycle.candidates(spark, shard=k, shards=5).collect()] for k in range(5)]
+    assert sorted(map(len, parts)) == [38, 38, 38, 39, 39] and sorted(sum(parts, [])) == sorted(lifecycle.candidate_id(c) for c in lifecycle.grid())
+
+
 def test_filter(spark):
     start = dt.date(2024, 1, 1)
     rows = [(start + dt.timedelta(days=i // 2), 100.0, 99.0 if i % 2 else 96.0, 104.0, 600 + i % 60, 50.0 if i % 2 else -50.0, 1e4, 1e4) for i in range(240)]

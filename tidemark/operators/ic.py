@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,13 @@ def p_value(t: Column) -> Column:
     return F.least(F.lit(1.0), u * F.exp(-z * z + poly))
 
 
+def until(panel: DataFrame, end: date, cutoff: date) -> DataFrame:
+    """Days of the panel up to `end`; an end past the cutoff, where untouched data begin, is an error."""
+    if end > cutoff:
+        raise ValueError(f"{end} is past the cutoff {cutoff}")
+    return panel.where(F.col("date") <= F.lit(end))
+
+
 def rank_ic(ranked: DataFrame, keys: list[str]) -> DataFrame:
     """IC by key and date of columns a and b (ranks), over rows that have both; 0 without spread, NULL under two rows."""
     both = ranked.where("a IS NOT NULL AND b IS NOT NULL").groupBy(*keys, "date").agg(

@@ -33,8 +33,11 @@ def grid_hash(candidates: list[dict]) -> str:
     return hashlib.sha256(json.dumps(candidates, sort_keys=True).encode()).hexdigest()[:16]
 
 
-def candidates(spark: SparkSession, values: dict[str, tuple] = GRID) -> DataFrame:
-    rows = [{"candidate_id": candidate_id(c)} | c for c in grid(values)]
+def candidates(spark: SparkSession, values: dict[str, tuple] = GRID, shard: int = 0, shards: int = 1) -> DataFrame:
+    """The grid, or every `shards`-th candidate of it from number `shard`."""
+    if not 0 <= shard < shards:
+        raise ValueError(f"shard {shard} of {shards}")
+    rows = [{"candidate_id": candidate_id(c)} | c for c in grid(values)[shard::shards]]
     kinds = {int: "int", float: "double", bool: "boolean"}
     schema = "candidate_id string, " + ", ".join(f"{k} {kinds[type(v[0])]}" for k, v in values.items())
     return spark.createDataFrame([tuple(r.values()) for r in rows], schema)

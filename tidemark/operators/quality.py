@@ -34,6 +34,21 @@ def session_quality(rows: DataFrame, calendar: DataFrame) -> DataFrame:
     return out.withColumn("max_consecutive_gaps", F.coalesce("max_consecutive_gaps", F.lit(0))).withColumn("gap_rate_pct", rate).withColumn("has_warning", rate > 1.0)
 
 
+def report_lines(found: DataFrame) -> DataFrame:
+    """(symbol, line): the table of session_quality as text, a line per symbol, to be read in order of the symbol."""
+    counts = ("total_sessions", "full_bar_sessions", "partial_sessions", "zero_bar_sessions")
+    cells = [F.rpad("symbol", 10, " "), *(F.lpad(F.col(c).cast("string"), 9, " ") for c in counts)]
+    cells += [F.format_string("%9.2f", "gap_rate_pct"), *(F.lpad(F.col(c).cast("string"), 9, " ") for c in ("max_consecutive_gaps", "stale_bar_count"))]
+    return found.select("symbol", F.concat(*cells, F.when(F.col("has_warning"), "  gaps over 1 %").otherwise("")).alias("line"))
+
+
+def report(found: DataFrame, start: str, end: str, at: str) -> dict:
+    """session_quality as a document; it has one entry per symbol, so it comes to the driver."""
+    symbols = [r.asDict() for r in found.orderBy("symbol").toLocalIterator()]
+    warned = [r["symbol"] for r in symbols if r["has_warning"]]
+    return {"generated_at": at, "start": start, "end": end, "symbols": symbols, "summary": {"any_warnings": bool(warned), "warned_symbols": warned}}
+
+
 def out_of_order(rows: DataFrame, file: str, line: str) -> DataFrame:
     """(file, first_bad): the first line of each file whose timestamp doesn't follow the one before."""
     before = F.lag("ts").over(Window.partitionBy(file).orderBy(line))

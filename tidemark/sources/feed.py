@@ -84,6 +84,24 @@ def register(spark: SparkSession, fetch: Fetch, name: str = "minute_feed", tries
     spark.dataSource.register(Feed)
 
 
+def download(spark: SparkSession, path: str, symbols: list[str], start: date, end: date, name: str = "minute_feed") -> list[date]:
+    """Write the bars of a range under path, a folder per month; gives the months that were written now.
+
+    A month that is complete (the writer's commit marks it) and whose range hasn't grown is left alone, so a run that broke
+    off goes on at the month it was at. A month that was cut short by `end` is read again when the end has moved.
+    """
+    jvm, written = spark._jvm, []
+    for first, last in months(start, end):
+        folder = f"{path.rstrip('/')}/{first}_{last}"
+        done = jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+        if done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+            continue
+        bars = spark.read.format(name).options(symbols=",".join(symbols), start=str(first), end=str(last)).load()
+        bars.write.mode("overwrite").parquet(folder)
+        written.append(first)
+    return written
+
+
 def extend(old: DataFrame, new: DataFrame, key: tuple[str, ...] = ("symbol", "ts")) -> DataFrame:
     """Old rows, and of the new ones those whose key is not there yet, once each."""
     fresh = new.dropDuplicates(list(key)).join(old.select(*key), list(key), "left_anti")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import zlib
+from datetime import date
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -43,7 +44,27 @@ def pseudo_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def minute_csv(spark: SparkSession, path: str, zone: str = "America/New_York") -> DataFrame:
+def minute_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(path, and the six fields as text): rows of minute files as they are written, repeats and broken ones included."""
+    fields = T.StructType([T.StructField(c, T.StringType()) for c in MINUTE_SCHEMA.names])
+    return spark.read.schema(fields).option("header", True).csv(path).select(F.col("_metadata.file_path").alias("path"), *MINUTE_SCHEMA.names)
+
+
+def minute_csv_between(spark: SparkSession, path: str, first: date, last: date, zone: str = "America/New_York") -> DataFrame:
+    """Bars of exchange days first to last, both included; files of a store by symbol and date are pruned by name.
+
+    A file `SYMBOL_START_END_1min.csv.gz` whose days lie outside isn't opened; any other name is read and its rows tested.
+    """
+    name = F.regexp_extract("path", r"_(\d{4}-\d{2}-\d{2})_(\d{4}-\d{2}-\d{2})_1min", 0)
+    begin, end = (F.try_to_date(F.regexp_extract("path", r"_(\d{4}-\d{2}-\d{2})_(\d{4}-\d{2}-\d{2})_1min", k)) for k in (1, 2))
+    files = spark.read.format("binaryFile").load(path).select("path")
+    inside = files.where((name == "") | ((begin <= F.lit(last)) & (end >= F.lit(first))))
+    paths = [r.path for r in inside.toLocalIterator()]  # file names, not rows
+    bars = minute_csv(spark, paths, zone) if paths else spark.createDataFrame([], "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double")
+    return bars.where(F.to_date("ts").between(F.lit(first), F.lit(last)))
+
+
+def minute_csv(spark: SparkSession, path: str | list[str], zone: str = "America/New_York") -> DataFrame:
     """Gzip CSV files `SYMBOL_..._1min.csv.gz` of minute bars, in exchange time, duplicates of (symbol, ts) removed."""
     raw = spark.read.schema(MINUTE_SCHEMA).option("header", True).csv(path).withColumn("_file", F.input_file_name())
     symbol = F.regexp_extract(F.regexp_extract("_file", r"([^/]+)$", 1), r"^([^_]+)_", 1)
@@ -52,7 +73,7 @@ def minute_csv(spark: SparkSession, path: str, zone: str = "America/New_York") -
 
 
 def latest_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(symbol, path, end): of files `SYMBOL_START_END_1min.csv.gz`, the one with the latest end of each symbol."""
+    """(symbol, path, end): of files `SYMBOL_START_END_1min.csv.gz`, the one with the latest end of each symbol; empty files don't count."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*_1min.csv.gz").load(folder).select("path")
     name = F.regexp_extract("path", r"([^/]+)_1min\.csv\.gz$", 1)
     rows = files.select(F.split(name, "_")[0].alias("symbol"), F.element_at(F.split(name, "_"), -1).alias("end"), "path")
