@@ -401,7 +401,9 @@ def daily_returns(spark, d):
   SELECT *, sum(ret) OVER (PARTITION BY candidate ORDER BY date ROWS UNBOUNDED PRECEDING) AS equity FROM ({RETURNS})) WINDOW w AS (PARTITION BY candidate ORDER BY date ROWS UNBOUNDED PRECEDING)) GROUP BY candidate""", "sharpe max_drawdown", "candidate days"))
 def return_metrics(spark, d):
     """Sharpe ratio and drawdown of each candidate."""
-    return rounded(metrics.return_metrics(candidate_returns(spark, d), ["candidate"]))
+    cells = cut(metrics.daily_cells(market.pseudo_trades(spark, d).withColumn("net", metrics.net(2.5)), ["candidate"]))
+    days = cells.agg(F.countDistinct("date").alias("days"))
+    return rounded(metrics.cell_metrics(cells, ["candidate"], days).select("candidate", "days", "sharpe", "max_drawdown"))
 
 
 @query(rounded_sql(f"SELECT symbol, sum(net) AS net FROM ({COSTED}) WHERE scenario = 'baseline' GROUP BY symbol", "net", "symbol", 3))
@@ -424,9 +426,14 @@ FOUND = f"""WITH f AS ({FOLDS}), t AS (SELECT * FROM ({COSTED}) WHERE scenario =
 CHOSEN = "SELECT fold, candidate, val_sharpe FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY round(val_sharpe, 9) DESC, candidate) AS k FROM g WHERE gate IS NULL AND val_sharpe IS NOT NULL) WHERE k = 1"
 
 
+def _cells(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Daily cells, written once, and the days of each fold."""
+    cells = cut(walkforward.costed_cells(market.pseudo_trades(spark, d)))
+    return cells, walkforward.folds(walkforward.day_numbers(cells, "date"))
+
+
 def _gates(spark, d):
-    t = market.pseudo_trades(spark, d)
-    found = walkforward.fold_metrics(t, walkforward.folds(walkforward.day_numbers(t)))
+    found = walkforward.fold_metrics(*_cells(spark, d))
     return found, walkforward.gated(found)
 
 
@@ -477,10 +484,9 @@ OUTER = f"""{FOUND}, z AS (SELECT s.* FROM ({COSTED}) s JOIN f ON s.exit_date =
 @query(OUTER)
 def outer_decision(spark, d):
     """The chosen candidates over all test days under each cost, and the final gates they fail."""
-    t = market.pseudo_trades(spark, d)
-    parts = walkforward.folds(walkforward.day_numbers(t))
-    chosen = walkforward.selected(walkforward.gated(walkforward.fold_metrics(t, parts)))
-    out = walkforward.decided(walkforward.outer(t, parts, chosen))
+    cells, parts = _cells(spark, d)
+    chosen = walkforward.selected(walkforward.gated(walkforward.fold_metrics(cells, parts)))
+    out = walkforward.decided(walkforward.outer(cells, parts, chosen))
     return rounded(out.select("scenario", "trades", "days", "failed", "win_rate", "profit_factor", "mean_net_bps", "total_net_pnl", "sharpe", "max_drawdown"), 4)
 
 

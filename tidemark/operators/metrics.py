@@ -39,13 +39,35 @@ def daily_returns(trades: DataFrame, keys: list[str], days: DataFrame) -> DataFr
     return grid.join(sums, [*keys, "date"], "left").select(*keys, "date", F.coalesce("ret", F.lit(0.0)).alias("ret"))
 
 
-def return_metrics(returns: DataFrame, keys: list[str]) -> DataFrame:
-    """Sharpe ratio (population deviation; NULL under two days or without deviation) and largest drawdown."""
+def daily_cells(trades: DataFrame, keys: list[str]) -> DataFrame:
+    """Sums of each key and exit day from which all metrics follow, so that trades are read and dealt once."""
+    bps = F.try_divide(F.col("net"), F.col("entry_notional")) * 10_000
+    return trades.groupBy(*keys, F.col("exit_date").alias("date")).agg(
+        F.count("*").alias("n"), F.count("net").alias("n_net"), F.count_if(F.col("net") > 0).alias("wins"), F.sum(F.when(F.col("net") > 0, F.col("net"))).alias("gain"),
+        F.sum(F.when(F.col("net") < 0, -F.col("net"))).alias("loss"), F.sum(bps).alias("bps"), F.count(bps).alias("n_bps"), F.sum("net").alias("net"),
+    )
+
+
+def cell_metrics(cells: DataFrame, keys: list[str], days: DataFrame) -> DataFrame:
+    """All metrics by key from its daily cells; `days` (some of the keys, days) has the number of days of each key.
+
+    Days without a cell have return 0. They aren't written out: the population deviation follows from that of the k
+    days with a cell, and the largest drawdown ends on one of them. Sharpe is NULL under two days or without deviation.
+    """
     path = Window.partitionBy(*keys).orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    equity = returns.withColumn("equity", F.sum("ret").over(path))
-    peak = equity.withColumn("fall", F.greatest(F.lit(0.0), F.max("equity").over(path)) - F.col("equity"))
-    sharpe = F.when(F.count("*") >= 2, F.try_divide(F.avg("ret"), F.nullif(F.stddev_pop("ret"), F.lit(0.0))) * F.sqrt(F.lit(float(YEAR))))
-    return peak.groupBy(*keys).agg(F.count("*").alias("days"), sharpe.alias("sharpe"), F.max("fall").alias("max_drawdown"))
+    ret = F.coalesce(F.col("net"), F.lit(0.0)) / CAPITAL
+    falls = cells.withColumn("ret", ret).withColumn("equity", F.sum("ret").over(path)).withColumn("fall", F.greatest(F.lit(0.0), F.max("equity").over(path)) - F.col("equity"))
+    sums = falls.groupBy(*keys).agg(
+        F.sum("n").alias("trades"), F.try_divide(F.sum("wins"), F.sum("n_net")).alias("win_rate"), F.try_divide(F.coalesce(F.sum("gain"), F.lit(0.0)), F.sum("loss")).alias("profit_factor"),
+        F.try_divide(F.sum("bps"), F.sum("n_bps")).alias("mean_net_bps"), F.sum("net").alias("total_net_pnl"),
+        F.count("*").alias("_k"), F.avg("ret").alias("_mean"), F.var_pop("ret").alias("_var"), F.max("fall").alias("max_drawdown"),
+    )
+    shared = [k for k in keys if k in days.columns]
+    out = sums.join(F.broadcast(days), shared) if shared else sums.crossJoin(F.broadcast(days))
+    share = F.col("_k") / F.col("days")
+    deviation = F.sqrt(share * (F.col("_var") + F.col("_mean") * F.col("_mean") * (1 - share)))
+    sharpe = F.when(F.col("days") >= 2, F.try_divide(F.col("_mean") * share, F.nullif(deviation, F.lit(0.0))) * F.sqrt(F.lit(float(YEAR))))
+    return out.withColumn("sharpe", sharpe).drop("_k", "_mean", "_var")
 
 
 def attribution(trades: DataFrame) -> DataFrame:

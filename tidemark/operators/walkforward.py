@@ -12,9 +12,9 @@ MIN_TRADES, MIN_SHARPE, MIN_FACTOR = 30, 0.0, 1.0
 FINAL = {"trades": 100, "sharpe": 0.5, "profit_factor": 1.10, "mean_net_bps": 0.0}
 
 
-def day_numbers(trades: DataFrame) -> DataFrame:
+def day_numbers(trades: DataFrame, day: str = "exit_date") -> DataFrame:
     """(date, n) for the distinct exit days, numbered from 0. There is a row per day, whatever the trades."""
-    days = trades.select(F.col("exit_date").alias("date")).distinct()
+    days = trades.select(F.col(day).alias("date")).distinct()
     return days.withColumn("n", F.row_number().over(Window.orderBy("date")) - 1)
 
 
@@ -33,24 +33,26 @@ def folds(days: DataFrame, train: int = TRAIN, test: int = TEST, step: int = STE
     return each.select("fold", F.when(k < inner, "train").when(k < train, "validation").otherwise("test").alias("part"), "date")
 
 
-def fold_metrics(trades: DataFrame, parts: DataFrame) -> DataFrame:
+def costed_cells(trades: DataFrame) -> DataFrame:
+    """Daily cells of each candidate under each cost scenario: what every later step of a walk-forward reads."""
+    return metrics.daily_cells(metrics.with_costs(trades), ["scenario", "candidate"])
+
+
+def fold_metrics(cells: DataFrame, parts: DataFrame) -> DataFrame:
     """Metrics of every candidate by fold and part at the baseline cost."""
-    costed = trades.withColumn("net", metrics.net(metrics.SCENARIOS["baseline"]))
-    keys = ["fold", "part", "candidate"]
-    own = costed.join(F.broadcast(parts), costed.exit_date == parts.date).drop("date")
-    returns = metrics.daily_returns(own, keys, parts)
-    return metrics.trade_metrics(own, keys).join(metrics.return_metrics(returns, keys), keys)
+    own = cells.where("scenario = 'baseline'").join(F.broadcast(parts), "date")
+    return metrics.cell_metrics(own, ["fold", "part", "candidate"], parts.groupBy("fold", "part").agg(F.count("*").alias("days")))
 
 
 def gated(found: DataFrame) -> DataFrame:
-    """The first gate that each candidate fails in each fold, or NULL."""
-    t, v = found.where("part = 'train'").alias("t"), found.where("part = 'validation'").alias("v")
-    both = t.join(v, ["fold", "candidate"], "left")
+    """The first gate that each candidate fails in each fold, or NULL; a row for each with trades to train on."""
+    of = {p: [F.max(F.when(F.col("part") == p, F.col(c))).alias(f"{p}_{c}") for c in ("trades", "sharpe", "profit_factor", "total_net_pnl")] for p in ("train", "validation")}
+    both = found.groupBy("fold", "candidate").agg(*of["train"], *of["validation"]).where("train_trades IS NOT NULL")
     gate = (
-        F.when(F.col("t.trades") < MIN_TRADES, "min_trades").when(~F.coalesce(F.col("t.sharpe") >= MIN_SHARPE, F.lit(False)), "train_sharpe")
-        .when(~F.coalesce(F.col("t.profit_factor") >= MIN_FACTOR, F.lit(True)), "train_pf").when(~F.coalesce(F.col("v.total_net_pnl") > 0, F.lit(False)), "val_pnl")
+        F.when(F.col("train_trades") < MIN_TRADES, "min_trades").when(~F.coalesce(F.col("train_sharpe") >= MIN_SHARPE, F.lit(False)), "train_sharpe")
+        .when(~F.coalesce(F.col("train_profit_factor") >= MIN_FACTOR, F.lit(True)), "train_pf").when(~F.coalesce(F.col("validation_total_net_pnl") > 0, F.lit(False)), "val_pnl")
     )
-    return both.select("fold", "candidate", gate.alias("gate"), F.col("v.sharpe").alias("val_sharpe"))
+    return both.select("fold", "candidate", gate.alias("gate"), F.col("validation_sharpe").alias("val_sharpe"))
 
 
 def rejections(gates: DataFrame) -> DataFrame:
@@ -63,13 +65,12 @@ def selected(gates: DataFrame) -> DataFrame:
     return gates.where("gate IS NULL AND val_sharpe IS NOT NULL").withColumn("k", F.row_number().over(best)).where("k = 1").select("fold", "candidate", "val_sharpe")
 
 
-def outer(trades: DataFrame, parts: DataFrame, chosen: DataFrame) -> DataFrame:
+def outer(cells: DataFrame, parts: DataFrame, chosen: DataFrame) -> DataFrame:
     """Metrics by cost scenario of the chosen candidates' test trades, over the test days of all folds, chosen or not."""
     days = parts.where("part = 'test'").select("fold", "date")
-    own = trades.join(F.broadcast(days), trades.exit_date == days.date).drop("date")
-    costed = metrics.with_costs(own.join(F.broadcast(chosen.select("fold", "candidate")), ["fold", "candidate"]))
-    returns = metrics.daily_returns(costed, ["scenario"], days.select("date").distinct())
-    return metrics.trade_metrics(costed, ["scenario"]).join(metrics.return_metrics(returns, ["scenario"]), "scenario")
+    own = cells.join(F.broadcast(days), "date").join(F.broadcast(chosen.select("fold", "candidate")), ["fold", "candidate"])
+    daily = own.groupBy("scenario", "date").agg(*(F.sum(c).alias(c) for c in ("n", "n_net", "wins", "gain", "loss", "bps", "n_bps", "net")))
+    return metrics.cell_metrics(daily, ["scenario"], days.agg(F.countDistinct("date").alias("days")))
 
 
 def decided(found: DataFrame) -> DataFrame:
