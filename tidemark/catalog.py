@@ -6,6 +6,7 @@ two engines agree.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import reduce
 
@@ -200,13 +201,35 @@ def wilder_atr(spark, d):
 SCALED = lifecycle.GRID | {"opening_range_minutes": (90, 180), "max_hold_minutes": (360, 720), "signal_cutoff_minutes": (360, 540)}
 
 
+def grid_sql(values: dict[str, tuple]) -> str:
+    """Every combination of the values, with the id from its canonical JSON; no part of it comes from lifecycle."""
+    lists = ", ".join(f"({', '.join(f'({json.dumps(v)})' for v in vs)}) AS {k}_({k})" for k, vs in values.items()).replace("((", "(VALUES (")
+    text = " || ', ' || ".join(f"""'"{k}": ' || CAST({k} AS VARCHAR)""" for k in sorted(values))
+    cast = ", ".join(f"CAST({k} AS {'BOOLEAN' if isinstance(vs[0], bool) else 'INT' if isinstance(vs[0], int) else 'DOUBLE'}) AS {k}" for k, vs in values.items())
+    return f"SELECT 'c' || left(sha256('{{' || {text} || '}}'), 12) AS candidate_id, * FROM (SELECT {cast} FROM {lists})"
+
+
+RVOL = f"""SELECT *, CASE WHEN n >= 10 AND med > 0 THEN cum_volume / med END AS rvol FROM (SELECT *, count(cum_volume) OVER w AS n, quantile_cont(cum_volume, 0.5) OVER w AS med FROM ({FEATURES})
+  WINDOW w AS (PARTITION BY symbol, minutes ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))"""
+SIGNALS = f"""WITH RECURSIVE t AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS n FROM ({TRUE_RANGE})),
+  a AS (SELECT symbol, max(date) AS date, 14 AS n, sum(tr) / 14 AS atr FROM t WHERE n <= 14 GROUP BY symbol HAVING count(*) = 14 UNION ALL
+    SELECT t.symbol, t.date, a.n + 1, (a.atr * 13 + t.tr) / 14 FROM a JOIN t ON t.symbol = a.symbol AND t.n = a.n + 1),
+  days AS (SELECT d.symbol, d.date, last_value(a.atr IGNORE NULLS) OVER (PARTITION BY d.symbol ORDER BY d.date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS atr
+    FROM (SELECT DISTINCT symbol, date FROM ({M30})) d LEFT JOIN a ON a.symbol = d.symbol AND a.date = d.date),
+  x AS (SELECT f.*, lag(vwap) OVER (PARTITION BY f.symbol, f.date ORDER BY bar_end) AS prev_vwap, days.atr FROM ({RVOL}) f JOIN days ON days.symbol = f.symbol AND days.date = f.date),
+  ranges AS (SELECT symbol, date, w, max(high) AS or_high, min(low) AS or_low FROM x CROSS JOIN (VALUES (90), (180)) AS r(w) WHERE minutes <= w GROUP BY symbol, date, w)
+  SELECT candidate_id, x.symbol, x.date, x.bar_end, close, rvol, vwap, atr FROM x JOIN ranges r ON r.symbol = x.symbol AND r.date = x.date JOIN ({grid_sql(SCALED)}) c ON c.opening_range_minutes = r.w
+  WHERE atr IS NOT NULL AND close >= vwap AND minutes > c.opening_range_minutes AND minutes <= c.signal_cutoff_minutes AND rvol >= c.min_relative_volume AND or_high > or_low AND close > or_high + c.breakout_atr_buffer * atr
+    AND CASE WHEN high <= low THEN 1 ELSE (close - low) / nullif(high - low, 0) END >= c.min_breakout_close_location AND (NOT c.require_rising_vwap OR coalesce(vwap > prev_vwap, false))"""
+
+
 def signal_rows(spark, d):
     b, f = half_hour(spark, d)
     f = intraday.with_atr(intraday.relative_volume(f), b)
     return f, lifecycle.signals(f, lifecycle.candidates(spark, SCALED), [90, 180])
 
 
-@query()
+@query(rounded_sql(SIGNALS, "close rvol vwap atr", "candidate_id symbol date bar_end"))
 def breakout_signals(spark, d):
     """Bars and candidates that meet the entry conditions."""
     return rounded(signal_rows(spark, d)[1].select("candidate_id", "symbol", "date", "bar_end", "close", "rvol", "vwap", "atr"))
@@ -218,7 +241,7 @@ def breakout_trades(spark, d):
     return rounded(lifecycle.trades(*signal_rows(spark, d), 30))
 
 
-@query()
+@query(grid_sql(lifecycle.GRID))
 def candidate_grid(spark, d):
     """The frozen grid with candidate ids."""
     return lifecycle.candidates(spark)
@@ -504,27 +527,61 @@ def purged_splits(spark, d):
     return walkforward.purged_splits(walkforward.day_numbers(market.pseudo_trades(spark, d)))
 
 
-VALUES = f"{FOUND}, q AS (SELECT candidate, fold, total_net_pnl AS value, part FROM x)"
+def unpivoted_sql(source: str, keys: str, names: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT {keys}, '{n}' AS metric, CAST({n} AS DOUBLE) AS value FROM {source}" for n in names)
+
+
+PAIRED = f"""{FOUND}, q AS ({unpivoted_sql('x', 'candidate, fold, part', monitor.COMPARED)}),
+  d AS (SELECT a.candidate, a.metric, b.value - a.value AS d FROM q a JOIN q b ON a.candidate = b.candidate AND a.metric = b.metric AND a.fold = b.fold
+    WHERE a.part = 'validation' AND b.part = 'test' AND a.value IS NOT NULL AND b.value IS NOT NULL),
+  e AS (SELECT candidate, metric, count(*) AS n, avg(d) AS mean_diff, avg(d) * sqrt(count(*)) / nullif(stddev_samp(d), 0) AS t_stat FROM d GROUP BY candidate, metric),
+  p AS (SELECT *, {p_sql('t_stat')} AS p_value FROM e)"""
+
 
+def paired(spark, d) -> DataFrame:
+    found = _gates(spark, d)[0]
+    v, t = (monitor.unpivoted(found.where(F.col("part") == p), ["candidate", "fold"], monitor.COMPARED) for p in ("validation", "test"))
+    return monitor.paired_test(v, t, ["candidate", "metric"])
 
-@query(f"""{VALUES} SELECT candidate, n, round(mean_diff, 5) + 0.0e0 AS mean_diff, round(t_stat, 6) + 0.0e0 AS t_stat, round({p_sql('t_stat')}, 6) + 0.0e0 AS p_value FROM (SELECT a.candidate, count(*) AS n, avg(b.value - a.value) AS mean_diff,
-  avg(b.value - a.value) * sqrt(count(*)) / nullif(stddev_samp(b.value - a.value), 0) AS t_stat FROM q a JOIN q b ON a.candidate = b.candidate AND a.fold = b.fold WHERE a.part = 'validation' AND b.part = 'test' GROUP BY a.candidate)""")
+
+@query(f"{PAIRED} SELECT candidate, metric, n, round(mean_diff, 5) + 0.0e0 AS mean_diff, round(t_stat, 6) + 0.0e0 AS t_stat, round(p_value, 6) + 0.0e0 AS p_value FROM p")
 def paired_comparison(spark, d):
-    """Paired test over folds, validation against test."""
-    v = _gates(spark, d)[0].withColumn("value", F.col("total_net_pnl"))
-    out = monitor.paired_test(v.where("part = 'validation'"), v.where("part = 'test'"), ["candidate"])
-    return out.select("candidate", "n", (F.round("mean_diff", 5) + F.lit(0.0)).alias("mean_diff"), (F.round("t_stat", 6) + F.lit(0.0)).alias("t_stat"), (F.round("p_value", 6) + F.lit(0.0)).alias("p_value"))
+    """Paired tests of five metrics over folds, validation against test."""
+    return paired(spark, d).select("candidate", "metric", "n", *((F.round(c, k) + F.lit(0.0)).alias(c) for c, k in (("mean_diff", 5), ("t_stat", 6), ("p_value", 6))))
+
+
+@query(f"""{PAIRED}, w AS (SELECT candidate, max(n) AS n, bool_or(metric IN ('sharpe', 'mean_net_bps') AND p_value < 0.05e0 AND mean_diff > 0) AS better,
+  bool_or(metric = 'sharpe' AND p_value < 0.05e0 AND mean_diff < 0) AS worse FROM p GROUP BY candidate)
+  SELECT candidate, CASE WHEN n < 2 THEN 'insufficient_data' WHEN better THEN 'significantly_better' WHEN worse THEN 'significantly_worse' ELSE 'no_significant_improvement' END AS verdict FROM w""")
+def comparison_verdict(spark, d):
+    """What the paired tests say of each candidate."""
+    return monitor.comparison_verdict(paired(spark, d), ["candidate"])
+
+
+DRIFT = f"""{FOUND}, s AS (SELECT c.fold, x.* EXCLUDE (fold) FROM ({CHOSEN}) c LEFT JOIN x ON x.fold = c.fold AND x.candidate = c.candidate AND x.part = 'test'),
+  q AS ({unpivoted_sql('s', 'fold', monitor.TRACKED)}), k AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY fold DESC) AS k FROM q),
+  e AS (SELECT metric, count(*) FILTER (k > 3) AS n_reference, avg(value) FILTER (k <= 3) AS recent_mean, avg(value) FILTER (k > 3) AS reference_mean, stddev_samp(value) FILTER (k > 3) AS sd FROM k GROUP BY metric),
+  z AS (SELECT *, CASE WHEN n_reference >= 3 THEN (recent_mean - reference_mean) / nullif(sd, 0) END AS z FROM e),
+  v AS (SELECT *, CASE WHEN z IS NULL THEN 'insufficient_data' WHEN z >= -1 THEN 'stable' WHEN z >= -2 THEN 'moderate' ELSE 'significant' END AS verdict FROM z)"""
 
 
-@query(f"""{VALUES} SELECT candidate, n_reference, round(recent_mean, 4) + 0.0e0 AS recent_mean, round(reference_mean, 4) + 0.0e0 AS reference_mean, round(z, 6) + 0.0e0 AS z,
-  CASE WHEN z IS NULL THEN 'insufficient_data' WHEN z >= -1 THEN 'stable' WHEN z >= -2 THEN 'moderate' ELSE 'significant' END AS verdict FROM (SELECT *, CASE WHEN n_reference >= 3 THEN (recent_mean - reference_mean) / nullif(sd, 0) END AS z FROM (
-  SELECT candidate, count(*) FILTER (k > 3) AS n_reference, avg(value) FILTER (k <= 3) AS recent_mean, avg(value) FILTER (k > 3) AS reference_mean, stddev_samp(value) FILTER (k > 3) AS sd FROM (
-    SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY fold DESC) AS k FROM q WHERE part = 'test') GROUP BY candidate))""")
+def drifts(spark, d) -> DataFrame:
+    found, gates = _gates(spark, d)
+    test = walkforward.selected(gates).select("fold", "candidate").join(found.where("part = 'test'"), ["fold", "candidate"], "left")
+    return monitor.drift(monitor.unpivoted(test, ["fold"], monitor.TRACKED), ["metric"])
+
+
+@query(f"{DRIFT} SELECT metric, n_reference, round(recent_mean, 4) + 0.0e0 AS recent_mean, round(reference_mean, 4) + 0.0e0 AS reference_mean, round(z, 6) + 0.0e0 AS z, verdict FROM v")
 def drift(spark, d):
-    """Drift of the last folds against earlier ones."""
-    v = _gates(spark, d)[0].where("part = 'test'").withColumn("value", F.col("total_net_pnl"))
-    out = monitor.drift(v, ["candidate"])
-    return out.select("candidate", "n_reference", *((F.round(c, k) + F.lit(0.0)).alias(c) for c, k in (("recent_mean", 4), ("reference_mean", 4), ("z", 6))), "verdict")
+    """Drift of each tracked metric over the last selected folds."""
+    return drifts(spark, d).select("metric", "n_reference", *((F.round(c, k) + F.lit(0.0)).alias(c) for c, k in (("recent_mean", 4), ("reference_mean", 4), ("z", 6))), "verdict")
+
+
+@query(f"""{DRIFT} SELECT CASE WHEN max(n_reference) < 3 THEN 'insufficient_data' WHEN bool_or(verdict = 'significant') THEN 'significant' WHEN bool_or(verdict = 'moderate') THEN 'moderate' ELSE 'stable' END AS verdict
+  FROM v HAVING count(*) > 0""")
+def drift_verdict(spark, d):
+    """The worst verdict of the tracked metrics."""
+    return monitor.worst(drifts(spark, d).withColumn("run", F.lit(1)), ["run"]).select("verdict")
 
 
 # ---------------------------------------------------------------- universe and dedup

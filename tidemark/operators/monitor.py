@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tidemark.operators.ic import p_value
 
 MODERATE, SIGNIFICANT, LEAST_REFERENCE = -1.0, -2.0, 3
+#: The metrics whose drift is watched, and those by which runs are compared.
+TRACKED = ["sharpe", "profit_factor", "mean_net_bps", "win_rate"]
+COMPARED = ["sharpe", "profit_factor", "mean_net_bps", "win_rate", "total_net_pnl"]
 
 
 def paired_test(base: DataFrame, variant: DataFrame, keys: list[str], on: str = "fold", value: str = "value") -> DataFrame:
@@ -20,11 +23,14 @@ def paired_test(base: DataFrame, variant: DataFrame, keys: list[str], on: str =
 
 
 def drift(values: DataFrame, keys: list[str], recent: int = 3) -> DataFrame:
-    """Standard score of the mean of the last `recent` folds against the earlier ones, and what it says."""
+    """Standard score of the mean of the last `recent` folds against the earlier ones, and what it says.
+
+    A fold without a value counts as a fold and not in the means.
+    """
     newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("fold")))
-    v = values.where("value IS NOT NULL").withColumn("_new", newest <= recent)
+    v = values.withColumn("_new", newest <= recent)
     now, then = F.when(F.col("_new"), F.col("value")), F.when(~F.col("_new"), F.col("value"))
-    out = v.groupBy(*keys).agg(F.count(then).alias("n_reference"), F.avg(now).alias("recent_mean"), F.avg(then).alias("reference_mean"), F.stddev_samp(then).alias("_sd"))
+    out = v.groupBy(*keys).agg(F.count_if(~F.col("_new")).alias("n_reference"), F.avg(now).alias("recent_mean"), F.avg(then).alias("reference_mean"), F.stddev_samp(then).alias("_sd"))
     z = F.when(F.col("n_reference") >= LEAST_REFERENCE, F.try_divide(F.col("recent_mean") - F.col("reference_mean"), F.nullif("_sd", F.lit(0.0))))
     verdict = F.when(F.col("z").isNull(), "insufficient_data").when(F.col("z") >= MODERATE, "stable").when(F.col("z") >= SIGNIFICANT, "moderate").otherwise("significant")
     return out.withColumn("z", z).drop("_sd").withColumn("verdict", verdict)
@@ -50,10 +56,11 @@ SEVERITY = ("stable", "insufficient_data", "moderate", "significant")
 
 
 def worst(verdicts: DataFrame, keys: list[str]) -> DataFrame:
-    """The worst verdict of several metrics by key; without enough folds for any, stable."""
+    """The worst verdict of several metrics by key; a metric that says nothing counts as stable if there are enough folds."""
     place = F.array_position(F.array(*map(F.lit, SEVERITY)), F.col("verdict"))
     place = F.when(F.col("verdict") == "insufficient_data", F.lit(1)).otherwise(place)
-    return verdicts.groupBy(*keys).agg(F.element_at(F.array(*map(F.lit, SEVERITY)), F.max(place).cast("int")).alias("verdict"))
+    found = F.element_at(F.array(*map(F.lit, SEVERITY)), F.max(place).cast("int"))
+    return verdicts.groupBy(*keys).agg(F.when(F.max("n_reference") < LEAST_REFERENCE, "insufficient_data").otherwise(found).alias("verdict"))
 
 
 def unpivoted(found: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
