@@ -211,16 +211,28 @@ def grid_sql(values: dict[str, tuple]) -> str:
 
 RVOL = f"""SELECT *, CASE WHEN n >= 10 AND med > 0 THEN cum_volume / med END AS rvol FROM (SELECT *, count(cum_volume) OVER w AS n, quantile_cont(cum_volume, 0.5) OVER w AS med FROM ({FEATURES})
   WINDOW w AS (PARTITION BY symbol, minutes ORDER BY date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))"""
-SIGNALS = f"""WITH RECURSIVE t AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS n FROM ({TRUE_RANGE})),
+SIGNAL_ROWS = f"""WITH RECURSIVE t AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date) AS n FROM ({TRUE_RANGE})),
   a AS (SELECT symbol, max(date) AS date, 14 AS n, sum(tr) / 14 AS atr FROM t WHERE n <= 14 GROUP BY symbol HAVING count(*) = 14 UNION ALL
     SELECT t.symbol, t.date, a.n + 1, (a.atr * 13 + t.tr) / 14 FROM a JOIN t ON t.symbol = a.symbol AND t.n = a.n + 1),
   days AS (SELECT d.symbol, d.date, last_value(a.atr IGNORE NULLS) OVER (PARTITION BY d.symbol ORDER BY d.date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS atr
     FROM (SELECT DISTINCT symbol, date FROM ({M30})) d LEFT JOIN a ON a.symbol = d.symbol AND a.date = d.date),
   x AS (SELECT f.*, lag(vwap) OVER (PARTITION BY f.symbol, f.date ORDER BY bar_end) AS prev_vwap, days.atr FROM ({RVOL}) f JOIN days ON days.symbol = f.symbol AND days.date = f.date),
-  ranges AS (SELECT symbol, date, w, max(high) AS or_high, min(low) AS or_low FROM x CROSS JOIN (VALUES (90), (180)) AS r(w) WHERE minutes <= w GROUP BY symbol, date, w)
-  SELECT candidate_id, x.symbol, x.date, x.bar_end, close, rvol, vwap, atr FROM x JOIN ranges r ON r.symbol = x.symbol AND r.date = x.date JOIN ({grid_sql(SCALED)}) c ON c.opening_range_minutes = r.w
+  ranges AS (SELECT symbol, date, w, max(high) AS or_high, min(low) AS or_low FROM x CROSS JOIN (VALUES (90), (180)) AS r(w) WHERE minutes <= w GROUP BY symbol, date, w),
+  found AS (SELECT candidate_id, x.symbol, x.date, x.bar_end, idx, close, rvol, vwap, atr, target_r, max_hold_minutes, least(stop_atr_fraction * atr, stop_range_fraction * (or_high - or_low)) AS dist FROM x JOIN ranges r ON r.symbol = x.symbol AND r.date = x.date JOIN ({grid_sql(SCALED)}) c ON c.opening_range_minutes = r.w
   WHERE atr IS NOT NULL AND close >= vwap AND minutes > c.opening_range_minutes AND minutes <= c.signal_cutoff_minutes AND rvol >= c.min_relative_volume AND or_high > or_low AND close > or_high + c.breakout_atr_buffer * atr
-    AND CASE WHEN high <= low THEN 1 ELSE (close - low) / nullif(high - low, 0) END >= c.min_breakout_close_location AND (NOT c.require_rising_vwap OR coalesce(vwap > prev_vwap, false))"""
+    AND CASE WHEN high <= low THEN 1 ELSE (close - low) / nullif(high - low, 0) END >= c.min_breakout_close_location AND (NOT c.require_rising_vwap OR coalesce(vwap > prev_vwap, false)))"""
+# One step of the recursion is one bar of every session and candidate: fill, then exit, then a new signal.
+RUN = f"""{SIGNAL_ROWS}, own AS (SELECT candidate_id, symbol, date, any_value(target_r) AS target_r, any_value(max_hold_minutes) AS hold, any_value(dist) AS dist, list(idx) AS marks FROM found GROUP BY candidate_id, symbol, date),
+  bars AS (SELECT symbol, date, idx, bar_end, open, high, low, close, max(idx) OVER (PARTITION BY symbol, date) AS last FROM x),
+  run AS (SELECT candidate_id, symbol, date, CAST(-1 AS BIGINT) AS idx, CAST(NULL AS BIGINT) AS pending, CAST(NULL AS BIGINT) AS signal_idx, CAST(NULL AS INT) AS entry_time, CAST(NULL AS DOUBLE) AS entry_price,
+      CAST(NULL AS INT) AS exit_time, CAST(NULL AS DOUBLE) AS exit_price, CAST(NULL AS VARCHAR) AS exit_reason, dist, target_r, hold, marks FROM own
+    UNION ALL SELECT candidate_id, symbol, date, idx, CASE WHEN (signal_idx IS NULL OR why IS NOT NULL) AND list_contains(marks, idx) THEN idx END, signal_idx, entry_time, entry_price, bar_end,
+      CASE why WHEN 'stop' THEN least(open, entry_price - dist) WHEN 'target' THEN greatest(open, entry_price + target_r * dist) ELSE close END, why, dist, target_r, hold, marks
+    FROM (SELECT *, CASE WHEN signal_idx IS NULL THEN NULL WHEN low <= entry_price - dist THEN 'stop' WHEN high >= entry_price + target_r * dist THEN 'target' WHEN bar_end - entry_time >= hold THEN 'max_hold' WHEN idx = last THEN 'session_close' END AS why
+      FROM (SELECT r.candidate_id, b.*, r.dist, r.target_r, r.hold, r.marks, coalesce(r.pending IS NOT NULL AND r.dist > 0 AND b.open > 0 AND b.open <= 10000, false) AS fill, CASE WHEN fill THEN r.pending WHEN r.exit_reason IS NULL THEN r.signal_idx END AS signal_idx,
+        CASE WHEN fill THEN b.bar_end - 30 ELSE r.entry_time END AS entry_time, CASE WHEN fill THEN b.open ELSE r.entry_price END AS entry_price FROM run r JOIN bars b ON b.symbol = r.symbol AND b.date = r.date AND b.idx = r.idx + 1)))
+  SELECT candidate_id, symbol, date, signal_idx, entry_time, entry_price, entry_price - dist AS stop_price, entry_price + target_r * dist AS target_price, exit_time, exit_price, exit_reason, q AS quantity,
+    (exit_price - entry_price) * q AS gross_pnl, entry_price * q AS entry_notional, exit_price * q AS exit_notional FROM (SELECT *, CAST(floor(10000 / entry_price) AS BIGINT) AS q FROM run WHERE exit_reason IS NOT NULL)"""
 
 
 def signal_rows(spark, d):
@@ -229,13 +241,13 @@ def signal_rows(spark, d):
     return f, lifecycle.signals(f, lifecycle.candidates(spark, SCALED), [90, 180])
 
 
-@query(rounded_sql(SIGNALS, "close rvol vwap atr", "candidate_id symbol date bar_end"))
+@query(rounded_sql(f"{SIGNAL_ROWS} SELECT * FROM found", "close rvol vwap atr", "candidate_id symbol date bar_end"))
 def breakout_signals(spark, d):
     """Bars and candidates that meet the entry conditions."""
     return rounded(signal_rows(spark, d)[1].select("candidate_id", "symbol", "date", "bar_end", "close", "rvol", "vwap", "atr"))
 
 
-@query()
+@query(rounded_sql(RUN, "entry_price stop_price target_price exit_price gross_pnl entry_notional exit_notional", "candidate_id symbol date signal_idx entry_time exit_time exit_reason quantity"))
 def breakout_trades(spark, d):
     """The trade log of all candidates."""
     return rounded(lifecycle.trades(*signal_rows(spark, d), 30))
