@@ -7,9 +7,10 @@ import hashlib
 import json
 import math
 
+import numpy as np
 import pytest
 
-from tidemark.operators import documents, filtering, ic, lifecycle, monitor, quality
+from tidemark.operators import documents, filtering, ic, lifecycle, metrics, monitor, quality, walkforward
 from tidemark.sources import feed, market, store
 
 H = "a" * 64
@@ -279,3 +280,86 @@ def test_filtered_trades_learns_all_rounds(spark, monkeypatch):
     monkeypatch.setattr(filtering, "fit", lambda train, parameters=None, rounds=filtering.ROUNDS: seen.append(rounds))
     catalog.QUERIES["filtered_trades"](spark, "/root/testdata/sf0.001")
     assert seen == [200]
+
+
+def plain_metrics(days, trades):
+    """Metrics of (day, net, notional) over all days, each day written out."""
+    net = np.array([n for _, n, _ in trades])
+    daily = np.array([sum(n for d, n, _ in trades if d == x) for x in days]) / metrics.CAPITAL
+    equity = np.cumsum(daily)
+    fall = (np.maximum(0, np.maximum.accumulate(equity)) - equity).max()
+    sharpe = daily.mean() / daily.std() * math.sqrt(252) if len(days) > 1 and daily.std() > 1e-15 else None
+    factor = net[net > 0].sum() / -net[net < 0].sum() if (net < 0).any() else None
+    return len(net), (net > 0).mean(), factor, np.mean([n / v for _, n, v in trades]) * 10_000, net.sum(), sharpe, fall
+
+
+def test_metrics_from_daily_cells(spark):
+    rng = np.random.default_rng(3)
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=k) for k in range(60)]
+    of = {k: [(days[int(d)], float(n), float(v)) for d, n, v in zip(rng.integers(0, 60, 40 * k), rng.normal(1, 50, 40 * k), rng.uniform(900, 1100, 40 * k), strict=True)] for k in (1, 2, 3)}
+    of |= {4: [(d, 5.0, 1000.0) for d in days], 5: [(days[7], -5.0, 1000.0)]}  # the same every day; a single loss
+    rows = spark.createDataFrame([(k, *t) for k, ts in of.items() for t in ts], "candidate int, exit_date date, net double, entry_notional double")
+    cells = metrics.daily_cells(rows, ["candidate"])
+    total = spark.createDataFrame([(60,)], "days long")
+    names = ["trades", "win_rate", "profit_factor", "mean_net_bps", "total_net_pnl", "sharpe", "max_drawdown"]
+    got = {r.candidate: [r[n] for n in names] for r in metrics.cell_metrics(cells, ["candidate"], total).collect()}
+    assert got.keys() == of.keys()
+    for k, ts in of.items():
+        want = plain_metrics(days, ts)
+        assert [x is None for x in got[k]] == [x is None for x in want]
+        assert np.allclose([x for x in got[k] if x is not None], [x for x in want if x is not None])
+
+
+def test_run_written_and_extended(spark, tmp_path):
+    schema = "candidate_id string, symbol string, entry_time int, gross_pnl double"
+    old = spark.createDataFrame([("c1", "A", 1, 1.0), ("c1", "A", 2, 2.0)], schema)
+    new = spark.createDataFrame([("c1", "A", 2, 9.0), ("c2", "B", 3, 3.0)], schema)
+    for name in ("a", "b"):
+        (tmp_path / f"in_{name}.gz").write_bytes(name.encode())
+    files = market.file_hashes(spark, str(tmp_path / "in_*.gz"))
+    market.write_run(old, str(tmp_path / "one"), "g", ["A"], "2024-01-02", "2024-01-31", files=files)
+    market.extend_run(spark, str(tmp_path / "one"), new, str(tmp_path / "two"), "g", "2024-02-01", "2024-02-29")
+    trades, metas = market.read_run(spark, str(tmp_path / "two"))
+    assert sorted(tuple(r) for r in trades.collect()) == [("c1", "A", 1, 1.0), ("c1", "A", 2, 2.0), ("c2", "B", 3, 3.0)]
+    m = metas.first()
+    assert (m.grid_spec_hash, m.start, m.end, m.trade_count, m.universe) == ("g", "2024-01-02", "2024-02-29", 3, ["A"]) and m.rolled_from == str(tmp_path / "one")
+    listed = spark.read.json(str(tmp_path / "one" / "shard0of1" / "cache_manifest.json")).collect()
+    assert {r.sha256 for r in listed} == {hashlib.sha256(x).hexdigest() for x in (b"a", b"b")}
+    with pytest.raises(ValueError, match="grid"):
+        market.extend_run(spark, str(tmp_path / "one"), new, str(tmp_path / "three"), "other", "2024-02-01", "2024-02-29")
+    with pytest.raises(Exception, match="already exists"):
+        market.write_run(old, str(tmp_path / "one"), "g", ["A"], "2024-01-02", "2024-01-31")
+    for k in (0, 2):
+        market.write_run(old, str(tmp_path / "part"), "g", ["A"], "2024-01-02", "2024-01-31", k, 3)
+    with pytest.raises(ValueError, match="complete"):
+        market.read_run(spark, str(tmp_path / "part"))
+
+
+def test_walk_forward_report(spark):
+    trades = market.pseudo_trades(spark, "/root/testdata/sf0.01").where("candidate <= 30")
+    meta = [{"grid_spec_hash": lifecycle.grid_hash(lifecycle.grid())}]
+    found = walkforward.report(trades, meta, "2024-01-01T00:00:00")
+    assert documents.problems(found, "report") == [] and json.loads(json.dumps(found)) is not None
+    base, chosen = found["outer_test_metrics_by_cost"]["baseline"], [f for f in found["folds"] if f["selected"] is not None]
+    assert len(found["folds"]) > 10 and len(chosen) > 3 and base["trades"] == sum(f["test_metrics"]["trades"] or 0 for f in chosen)
+    assert math.isclose(sum(found["symbol_attribution_baseline"].values()), base["total_net_pnl"], rel_tol=1e-9, abs_tol=1e-6)
+    assert all(f["train_max"] < f["validation_min"] <= f["validation_max"] < f["test_min"] for f in found["folds"])
+    nothing = walkforward.report(trades.limit(0), meta, "2024-01-01T00:00:00")
+    assert nothing["decision"] == "No-Go" and nothing["folds"] == []
+
+
+def test_drift_counts_folds_without_values(spark):
+    values = spark.createDataFrame([("sharpe", k, None if k == 2 else float(x)) for k, x in enumerate([1, 2, 9, 1, -9, -9, -9])], "metric string, fold int, value double")
+    r = monitor.drift(values, ["metric"]).first()
+    assert r.n_reference == 4 and np.isclose(r.z, (-9 - 4 / 3) / np.std([1, 2, 1], ddof=1)) and r.verdict == "significant"
+    rows = [("a", "stable", 5), ("a", "moderate", 5), ("b", "insufficient_data", 5), ("c", "stable", 2)]
+    verdicts = spark.createDataFrame(rows, "run string, verdict string, n_reference int")
+    assert {r.run: r.verdict for r in monitor.worst(verdicts, ["run"]).collect()} == {"a": "moderate", "b": "stable", "c": "insufficient_data"}
+
+
+def test_instrument_of_a_symbol(spark):
+    day = dt.date
+    listed = spark.createDataFrame([(1, "A", day(2020, 1, 1), day(2021, 1, 1)), (2, "A", day(2020, 6, 1), None), (3, "B", day(2020, 1, 1), None)], "instrument_id int, symbol string, listed_from date, listed_to date")
+    asked = spark.createDataFrame([("A", day(2020, 2, 1)), ("A", day(2020, 7, 1)), ("A", day(2021, 1, 1)), ("C", day(2020, 2, 1)), ("B", day(2019, 1, 1))], "symbol string, date date")
+    got = {(r.symbol, r.date): (r.n, r.instrument_id) for r in quality.instrument_at(asked, listed).collect()}
+    assert got == {("A", day(2020, 2, 1)): (1, 1), ("A", day(2020, 7, 1)): (2, None), ("A", day(2021, 1, 1)): (1, 2), ("C", day(2020, 2, 1)): (0, None), ("B", day(2019, 1, 1)): (0, None)}

@@ -525,6 +525,15 @@ def outer_decision(spark, d):
     return rounded(out.select("scenario", "trades", "days", "failed", "win_rate", "profit_factor", "mean_net_bps", "total_net_pnl", "sharpe", "max_drawdown"), 4)
 
 
+@query(f"""{FOUND} SELECT symbol, round(sum(net), 3) + 0.0e0 AS net FROM ({COSTED}) s JOIN f ON s.exit_date = f.date AND f.part = 'test' JOIN ({CHOSEN}) c ON c.fold = f.fold AND c.candidate = s.candidate
+  WHERE scenario = 'baseline' GROUP BY symbol""")
+def outer_attribution(spark, d):
+    """Net profit by symbol of the chosen candidates' test trades."""
+    cells, parts = _cells(spark, d)
+    chosen = walkforward.selected(walkforward.gated(walkforward.fold_metrics(cells, parts)))
+    return walkforward.outer_attribution(market.pseudo_trades(spark, d), parts, chosen).select("symbol", (F.round("net", 3) + F.lit(0.0)).alias("net"))
+
+
 @query(f"SELECT count(*) AS trade_count, min(exit_date) AS start, max(exit_date) AS \"end\" FROM ({PSEUDO})")
 def run_totals(spark, d):
     """Totals of a run."""
@@ -613,6 +622,19 @@ def listing_overlaps(spark, d):
     return quality.overlaps(listings(spark, d)).groupBy("instrument_id").agg(F.count("*").alias("n"))
 
 
+SHARED = LISTING.replace("'S' || o_custkey AS symbol", "'S' || o_custkey % 500 AS symbol")
+
+
+@query(f"""SELECT symbol, date, count(DISTINCT instrument_id) AS n, CASE WHEN count(DISTINCT instrument_id) = 1 THEN min(instrument_id) END AS instrument_id
+  FROM (SELECT DISTINCT symbol, d.date FROM ({SHARED}) CROSS JOIN (SELECT unnest([DATE '1996-01-01', DATE '1998-06-01', DATE '2000-12-31']) AS date) d) a
+  LEFT JOIN (SELECT symbol AS s, instrument_id, listed_from, listed_to FROM ({SHARED})) i ON s = symbol AND listed_from <= date AND date < listed_to GROUP BY symbol, date""")
+def symbol_instruments(spark, d):
+    """The instrument of each symbol on a date, if it is one."""
+    rows = listings(spark, d).withColumn("symbol", F.concat(F.lit("S"), F.substring("symbol", 2, 20).cast("long") % 500))
+    days = spark.createDataFrame([(x,) for x in ("1996-01-01", "1998-06-01", "2000-12-31")], "date string").select(F.to_date("date").alias("date"))
+    return quality.instrument_at(rows.select("symbol").distinct().crossJoin(F.broadcast(days)), rows)
+
+
 @query(f"SELECT date, count(*) AS members FROM ({LISTING}) JOIN (SELECT unnest([DATE '1996-01-01', DATE '1998-06-01', DATE '2000-12-31']) AS date) ON listed_from <= date AND date < listed_to GROUP BY date")
 def universe_on_dates(spark, d):
     """Members of the universe at dates."""

@@ -68,6 +68,13 @@ def overlaps(intervals: DataFrame) -> DataFrame:
     return before.where("_n > 1 AND (_end IS NULL OR listed_from < _end)").drop("_n", "_end")
 
 
+def instrument_at(asked: DataFrame, intervals: DataFrame) -> DataFrame:
+    """For each (symbol, date) asked: how many instruments have the symbol that day, and the instrument if it is one."""
+    inside = (F.col("a.symbol") == F.col("i.symbol")) & (F.col("i.listed_from") <= F.col("a.date")) & (F.col("i.listed_to").isNull() | (F.col("a.date") < F.col("i.listed_to")))
+    pairs = asked.select("symbol", "date").distinct().alias("a").join(intervals.alias("i"), inside, "left")
+    return pairs.groupBy("a.symbol", "a.date").agg(F.count_distinct("i.instrument_id").alias("n"), F.min("i.instrument_id").alias("_id")).select("symbol", "date", "n", F.when(F.col("n") == 1, F.col("_id")).alias("instrument_id"))
+
+
 def listed_on(intervals: DataFrame, days: DataFrame) -> DataFrame:
     """Members of the universe on each day; days are few and broadcast."""
     inside = (intervals.listed_from <= days.date) & (intervals.listed_to.isNull() | (days.date < intervals.listed_to))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import metrics
+from tidemark.operators.documents import METRICS
+from tidemark.plans.lineage import cut
 
 TRAIN, TEST, STEP, INNER = 252, 63, 63, 0.8
 MIN_TRADES, MIN_SHARPE, MIN_FACTOR = 30, 0.0, 1.0
@@ -80,6 +82,40 @@ def decided(found: DataFrame) -> DataFrame:
     return found.withColumn("failed", F.concat_ws(",", *failed, F.when(F.col("profit_factor") < FINAL["profit_factor"], "profit_factor")))
 
 
+def outer_attribution(trades: DataFrame, parts: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Net profit by symbol of the chosen candidates' test trades at the baseline cost."""
+    days = parts.where("part = 'test'").select("fold", "date")
+    own = trades.join(F.broadcast(days), trades.exit_date == days.date).join(F.broadcast(chosen.select("fold", "candidate")), ["fold", "candidate"])
+    return metrics.attribution(own.withColumn("net", metrics.net(metrics.SCENARIOS["baseline"])))
+
+
+def report(trades: DataFrame, input_meta: list[dict], at: str) -> dict:
+    """The walk-forward report of a trade log (candidate, symbol, exit_date, ...). What reaches the driver is by fold, cost or symbol."""
+    cells = cut(costed_cells(trades))
+    parts = cut(folds(day_numbers(cells, "date")))
+    found = cut(fold_metrics(cells, parts))
+    gates = gated(found)
+    chosen = cut(selected(gates))
+    names = ["trades", "win_rate", "profit_factor", "sharpe", "mean_net_bps", "total_net_pnl", F.col("max_drawdown").alias("max_drawdown_frac")]
+    tests = chosen.join(found.where("part = 'test'"), ["fold", "candidate"], "left").select("fold", "candidate", *names).collect()
+    spans = parts.groupBy("fold").agg(*(F.expr(f"CAST({f}(date) FILTER (WHERE part = '{p}') AS STRING)").alias(f"{p}_{f}") for p in ("train", "validation", "test") for f in ("min", "max"))).orderBy("fold").collect()
+    lost: dict[int, dict] = {}
+    for r in rejections(gates).collect():
+        lost.setdefault(r.fold, {})[r.gate] = r.n
+    of = {r.fold: r.asDict() for r in tests}
+    by_cost = {r.scenario: r for r in decided(outer(cells, parts, chosen)).select("scenario", "failed", *names).collect()}
+    failed = [x for x in by_cost["baseline"].failed.split(",") if x] if by_cost else ["trades"]
+    measured = {c: {k: v for k, v in by_cost[c].asDict().items() if k not in ("scenario", "failed")} if by_cost else {"trades": 0} | dict.fromkeys(METRICS) for c in metrics.SCENARIOS}
+    each = [s.asDict() | {"rejections": lost.get(s.fold, {}), "selected": of.get(s.fold, {}).get("candidate"), "test_metrics": {k: of[s.fold][k] for k in METRICS} if s.fold in of else None} for s in spans]
+    return {
+        "schema_version": 1, "generated_at": at, "input_meta": input_meta, "folds": each, "fold_definition": {"train_days": TRAIN, "test_days": TEST, "step_days": STEP},
+        "selection_gates": {"min_trades": MIN_TRADES, "min_train_sharpe": MIN_SHARPE, "min_train_pf": MIN_FACTOR, "validation": "net profit above 0"},
+        "decision_gates": {"min_outer_trades": FINAL["trades"], "min_outer_sharpe": FINAL["sharpe"], "min_outer_pf": FINAL["profit_factor"]},
+        "outer_test_metrics_by_cost": measured, "symbol_attribution_baseline": {r.symbol: r.net for r in outer_attribution(trades, parts, chosen).orderBy("symbol").collect()},
+        "decision": "No-Go" if failed else "Candidate", "decision_reasons": failed,
+    }
+
+
 def totals(trades: DataFrame, start: str = "exit_date", end: str = "exit_date") -> DataFrame:
     """Number of trades of a run, its first and last day."""
     return trades.agg(F.count("*").alias("trade_count"), F.min(start).alias("start"), F.max(end).alias("end"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import json
 import zlib
 from datetime import date
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+KEY = ("candidate_id", "symbol", "entry_time")
 MINUTE_SCHEMA = T.StructType([T.StructField("ts", T.StringType())] + [T.StructField(c, T.DoubleType()) for c in ("open", "high", "low", "close", "volume")])
 
 
@@ -96,7 +98,7 @@ def write_trades(trades: DataFrame, path: str, rows_per_file: int = 5000) -> Non
     trades.write.mode("errorifexists").option("maxRecordsPerFile", rows_per_file).json(path)
 
 
-def read_trades(spark: SparkSession, path: str, key: tuple[str, ...] = ("candidate_id", "symbol", "entry_time")) -> DataFrame:
+def read_trades(spark: SparkSession, path: str, key: tuple[str, ...] = KEY) -> DataFrame:
     """A trade log; a repeated key is an error."""
     trades = spark.read.option("multiLine", False).json(path)
     twice = trades.groupBy(*key).count().where("count > 1").limit(1).collect()
@@ -105,7 +107,7 @@ def read_trades(spark: SparkSession, path: str, key: tuple[str, ...] = ("candida
     return trades
 
 
-def merge_trades(old: DataFrame, new: DataFrame, key: tuple[str, ...] = ("candidate_id", "symbol", "entry_time")) -> DataFrame:
+def merge_trades(old: DataFrame, new: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     """Old trades and those new ones whose key isn't among them."""
     return old.unionByName(new.join(old.select(*key), list(key), "left_anti").dropDuplicates(list(key)))
 
@@ -142,28 +144,66 @@ def minute_file_state(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, "path string, n_rows long, first string, last string, problem string")
 
 
-def read_trade_shards(spark: SparkSession, folder: str, key: tuple[str, ...] = ("candidate_id", "symbol", "entry_time")) -> DataFrame:
-    """Trades of all shards `shard*/trades_*.json` (arrays) with their `meta.json`.
-
-    Errors: a shard without meta, grids that differ, a set of shards that isn't complete, a repeated key.
-    """
-    shard = F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1).alias("_shard")
-    read = spark.read.option("multiLine", True)
-    metas = read.json(f"{folder}/shard*/meta.json").select("grid_spec_hash", "candidate_shards", "candidate_shard", shard)
+def _whole(trades: DataFrame, metas: DataFrame, key: tuple[str, ...] | None) -> DataFrame:
+    """Trades without `_shard`; ValueError if a shard has no meta, grids differ, shards are lacking or (with key) one is repeated."""
     held = metas.collect()  # one row per shard
-    trades = read.json(f"{folder}/shard*/trades_*.json").select("*", shard)
     if lacking := trades.select("_shard").distinct().join(metas.select("_shard"), "_shard", "left_anti").collect():
         raise ValueError(f"no meta in {', '.join(sorted(r[0] for r in lacking))}")
     if len({m.grid_spec_hash for m in held}) != 1:
         raise ValueError("the shards' grids differ")
     if len(held) > 1 and ({m.candidate_shards for m in held} != {len(held)} or sorted(m.candidate_shard for m in held) != list(range(len(held)))):
         raise ValueError("the set of shards is not complete")
-    twice = trades.groupBy(*key).count().where("count > 1").limit(1).collect()
+    twice = trades.groupBy(*key).count().where("count > 1").limit(1).collect() if key else []
     if twice:
         raise ValueError(f"duplicate trade: {twice[0][:-1]}")
     return trades.drop("_shard")
 
 
+def read_trade_shards(spark: SparkSession, folder: str, key: tuple[str, ...] = KEY) -> DataFrame:
+    """Trades of all shards `shard*/trades_*.json` (arrays) with their `meta.json`.
+
+    Errors: a shard without meta, grids that differ, a set of shards that isn't complete, a repeated key.
+    """
+    shard = F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1).alias("_shard")
+    read = spark.read.option("multiLine", True)
+    metas = read.json(f"{folder}/shard*/meta.json").select("grid_spec_hash", "candidate_shards", "candidate_shard", shard)
+    return _whole(read.json(f"{folder}/shard*/trades_*.json").select("*", shard), metas, key)
+
+
+META = "schema_version int, grid_spec_hash string, candidate_shard int, candidate_shards int, universe array<string>, start string, end string, trade_count long, rolled_from string, schema string"
+
+
+def write_run(trades: DataFrame, folder: str, grid_hash: str, universe: list[str], start: str, end: str, shard: int = 0, shards: int = 1, files: DataFrame | None = None, rolled_from: str | None = None) -> None:
+    """One shard of a run: `trades` (JSON lines), `cache_manifest.json` (the hashes of its input files), and last `meta.json`.
+
+    All are folders that Spark writes, so any file system will do. Without meta a run isn't whole; nothing is overwritten.
+    """
+    spark, out = trades.sparkSession, f"{folder}/shard{shard}of{shards}"
+    write_trades(trades, f"{out}/trades")
+    if files is not None:
+        files.write.mode("errorifexists").json(f"{out}/cache_manifest.json")
+    count = spark.read.schema(trades.schema).json(f"{out}/trades").count()
+    meta = (1, grid_hash, shard, shards, universe, start, end, count, rolled_from, trades.schema.json())
+    spark.createDataFrame([meta], META).coalesce(1).write.mode("errorifexists").json(f"{out}/meta.json")
+
+
+def read_run(spark: SparkSession, folder: str, key: tuple[str, ...] | None = KEY) -> tuple[DataFrame, DataFrame]:
+    """Trades and metas of all shards of a run, tested as in read_trade_shards; without key repeated trades are let through."""
+    shard = F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+/[^/]+$", 1).alias("_shard")
+    metas = spark.read.schema(META).json(f"{folder}/shard*/meta.json").select("*", shard)
+    schema = T.StructType.fromJson(json.loads(metas.select("schema").first()[0]))
+    return _whole(spark.read.schema(schema).json(f"{folder}/shard*/trades").select("*", shard), metas, key), metas.drop("_shard")
+
+
+def extend_run(spark: SparkSession, old: str, new: DataFrame, folder: str, grid_hash: str, start: str, end: str, key: tuple[str, ...] = KEY) -> None:
+    """A run with the trades of a further period: a trade that the old run has stays as it was. Another grid is an error."""
+    trades, metas = read_run(spark, old, None)
+    was = metas.agg(F.first("grid_spec_hash"), F.min("start"), F.max("end"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("universe"))))).first()
+    if was[0] != grid_hash:
+        raise ValueError(f"the run's grid is {was[0]}, not {grid_hash}")
+    write_run(merge_trades(trades.dropDuplicates(list(key)), new, key), folder, grid_hash, was[3], min(was[1], start), max(was[2], end), rolled_from=old)
+
+
 def export_panel(bars: DataFrame, path: str) -> None:
     """A panel as CSV by (datetime, instrument) with $-columns, in order of both; an existing target is an error."""
     columns = [F.col("date").alias("datetime"), F.col("symbol").alias("instrument"), *(F.col(c).alias(f"${c}") for c in ("open", "high", "low", "close", "volume"))]
