@@ -29,12 +29,12 @@ ABSTAIN, BAD, GOOD = 0, 1, 2
 _stop = frozenset(w for ws in STOP_WORDS.values() for w in ws)
 _marks = re.compile(r"[#*$%&|<>!=~^]{2,}|[|<>]")
 _ends = ".,;:!?#*$%&|()\"'-"
-_cache: dict[str, int] = {}
 
 
-def _token(word: str) -> int:
+class _Tokens(dict):
     """What is known of a word, packed: hash of its shape, of itself, stop word, upper case, marks, letters."""
-    if (got := _cache.get(word)) is None:
+
+    def __missing__(self, word: str) -> int:
         core = word.strip(_ends)
         tail = word[len(word.rstrip(_ends)) :][:3] if core else word[:3]
         upper = len(core) > 1 and core.isupper()
@@ -43,10 +43,13 @@ def _token(word: str) -> int:
         got = zlib.crc32(("s" + shape).encode("utf-8", "surrogatepass")) % BUCKETS | zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % BUCKETS << 14
         got |= (core.lower() in _stop) << 28 | upper << 29 | (_marks.search(word) is not None) << 30 | letters << 31
         if len(word) <= 48:
-            if len(_cache) >= 150_000:
-                _cache.clear()
-            _cache[word] = got
-    return got
+            if len(self) >= 400_000:
+                self.clear()
+            self[word] = got
+        return got
+
+
+_token = _Tokens().__getitem__
 
 
 def _vote(value: float, good: tuple[float, float], bad: tuple[float, float]) -> int:
@@ -66,21 +69,36 @@ LABELLERS = [
 ]
 
 
+def _packed(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(_token, words), np.int64, len(words))
+
+
+def _votes(words: list[str], a: np.ndarray) -> list[int]:
+    n, chars = len(words), sum(map(len, words))
+    same = sum(map(str.__eq__, words, words[1:]))
+    m = ((a >> 30 & 1).mean(), (a >> 28 & 1).mean(), (a >> 29 & 1).mean(), len(set(words)) / n**0.85, same / n, chars / n, (a >> 31).sum() / chars)
+    return [_vote(m[i], good, bad) for _, i, good, bad in LABELLERS]
+
+
+def voted_on(text: str) -> list[int]:
+    """The labellers' votes on a text with at least one word."""
+    words = text.split()
+    return _votes(words, _packed(words))
+
+
+def scored(text: str, w: np.ndarray) -> float:
+    """The scorer's verdict on a text with at least one word: each word adds the weights of its two features."""
+    a = _packed(text.split())
+    total = (w[a & BUCKETS - 1].sum() + w[a >> 14 & BUCKETS - 1].sum()) / len(a) + w[-1]
+    return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
+
+
 def measured(text: str) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """Feature ids, their weights and the votes of a text with at least one word."""
     words = text.split()
-    n = len(words)
-    a = np.fromiter(map(_token, words), np.int64, n)
-    chars = sum(map(len, words))
-    same = sum(map(str.__eq__, words, words[1:]))
-    m = ((a >> 30 & 1).mean(), (a >> 28 & 1).mean(), (a >> 29 & 1).mean(), len(set(words)) / n**0.85, same / n, chars / n, (a >> 31).sum() / chars)
-    counts = np.bincount(a & BUCKETS - 1, minlength=BUCKETS) + np.bincount(a >> 14 & BUCKETS - 1, minlength=BUCKETS) if n > BUCKETS else None
-    if counts is None:
-        ids, counts = np.unique(np.concatenate([a & BUCKETS - 1, a >> 14 & BUCKETS - 1]), return_counts=True)
-    else:
-        ids = np.flatnonzero(counts)
-        counts = counts[ids]
-    return ids, counts / n, [_vote(m[i], good, bad) for _, i, good, bad in LABELLERS]
+    a = _packed(words)
+    ids, counts = np.unique(np.concatenate([a & BUCKETS - 1, a >> 14 & BUCKETS - 1]), return_counts=True)
+    return ids, counts / len(words), _votes(words, a)
 
 
 def pattern(votes: list[int]) -> int:
@@ -135,7 +153,7 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, dict]:
     ship(docs.sparkSession)
 
     def votes(b: pa.RecordBatch) -> pa.RecordBatch:
-        found = [pattern(measured(t)[2]) if t and t.strip() else -1 for t in b.column(0).to_pylist()]
+        found = [pattern(voted_on(t)) if t and t.strip() else -1 for t in b.column(0).to_pylist()]
         return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), b.column(1)], ["pattern", "h"])
 
     texts = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("h"))
@@ -170,14 +188,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
 
 def _scores(texts: pa.Array, w: np.ndarray) -> list[float]:
-    out = []
-    for t in texts.to_pylist():
-        if not t or not t.strip():
-            out.append(0.0)
-            continue
-        ids, x, _ = measured(t)
-        out.append(float(1 / (1 + np.exp(-np.clip(w[ids] @ x + w[-1], -30, 30)))))
-    return out
+    return [scored(t, w) if t and t.strip() else 0.0 for t in texts.to_pylist()]
 
 
 def keep(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
