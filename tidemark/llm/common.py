@@ -55,13 +55,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def by_batch(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int | None = None) -> DataFrame:
-    """mapInArrow with one function of a batch, or of at most `rows` rows of one where what is made of a row is large."""
+def by_batch(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int | None = None, done: Callable[[], None] | None = None) -> DataFrame:
+    """mapInArrow with one function of a batch, or of at most `rows` rows of one where what is made of a row is large.
+
+    `done` is called after a task's last batch: workers live on, and what one holds then is lacking in later stages.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, rows or max(1, batch.num_rows)):
                 if (out := make(batch.slice(lo, rows))) is not None:
                     yield out
+        if done:
+            done()
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)

@@ -43,13 +43,21 @@ class _Tokens(dict):
         got = zlib.crc32(("s" + shape).encode("utf-8", "surrogatepass")) % BUCKETS | zlib.crc32(word.lower().encode("utf-8", "surrogatepass")) % BUCKETS << 14
         got |= (core.lower() in _stop) << 28 | upper << 29 | (_marks.search(word) is not None) << 30 | letters << 31
         if len(word) <= 48:
-            if len(self) >= 400_000:
+            if len(self) >= 150_000:
                 self.clear()
             self[word] = got
         return got
 
 
-_token = _Tokens().__getitem__
+_known = _Tokens()
+_token = _known.__getitem__
+#: Rows whose texts are held at a time.
+ROWS = 1000
+
+
+def forget() -> None:
+    """Let go of the words that this worker knows."""
+    _known.clear()
 
 
 def _vote(value: float, good: tuple[float, float], bad: tuple[float, float]) -> int:
@@ -157,7 +165,7 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, dict]:
         return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), b.column(1)], ["pattern", "h"])
 
     texts = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("h"))
-    voted = cut(by_batch(texts, votes, "pattern int, h long").where("pattern >= 0"))
+    voted = cut(by_batch(texts, votes, "pattern int, h long", ROWS, forget).where("pattern >= 0"))
     patterns = {r.pattern: r.n for r in voted.groupBy("pattern").agg(F.count("*").alias("n")).collect()}  # 3 ** len(LABELLERS) rows at most
     p, good, posterior = estimate(patterns)
     chosen = voted.select("h").orderBy("h").limit(fit_rows).agg(F.max("h")).first()[0]
@@ -170,7 +178,7 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, dict]:
         got = [measured(t) for t in b.column(0).to_pylist()]
         return pa.RecordBatch.from_arrays([b.column(1), pa.array([g[0] for g in got], pa.list_(pa.int64())), pa.array([g[1] for g in got], pa.list_(pa.float64())), pa.array([pattern(g[2]) for g in got], pa.int32())], ["h", "ids", "x", "pattern"])
 
-    sample = by_batch(texts.where(F.col("h") <= F.lit(chosen)), features, "h long, ids array<long>, x array<double>, pattern int")
+    sample = by_batch(texts.where(F.col("h") <= F.lit(chosen)), features, "h long, ids array<long>, x array<double>, pattern int", ROWS, forget)
     rows: pd.DataFrame = sample.orderBy("h").limit(fit_rows).toPandas()
     target = np.array([posterior.get(int(v), good) for v in rows["pattern"]])
     return fit([(np.asarray(i, np.int64), np.asarray(x, np.float64)) for i, x in zip(rows["ids"], rows["x"], strict=True)], target), report
@@ -183,7 +191,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     def make(b: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(b.column(1), w.value))], ["doc_id", "score"])
 
-    out = by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), make, "doc_id long, score double")
+    out = by_batch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), make, "doc_id long, score double", ROWS, forget)
     return out.withColumn("kept", F.col("score") >= KEPT_AT)
 
 
@@ -201,7 +209,7 @@ def keep(docs: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
         texts = b.column(at)
         return b.filter(pa.array([s >= KEPT_AT for s in _scores(texts.cast(pa.string()), w.value)], pa.bool_()))
 
-    return by_batch(docs, make, docs.schema)
+    return by_batch(docs, make, docs.schema, ROWS, forget)
 
 
 def op10_weak_label(spark, sf_dir):
