@@ -201,6 +201,40 @@ def test_filter(spark):
     assert filtering.filtered(trades.limit(19), trades, rounds=2).count() == 240
 
 
+def test_boosting_as_spark_ml_without_its_jobs(spark):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1200, 4))
+    x[:, 3] = rng.integers(0, 5, 1200)
+    wins = x[:, 0] * x[:, 1] + 0.5 * x[:, 2] + 0.4 * rng.normal(size=1200) > 0
+    rows = [(*r, float(w)) for r, w in zip(x.tolist(), wins, strict=True)]
+    trades = spark.createDataFrame(rows, ", ".join(f"{f} double" for f in [*filtering.FEATURES, "label"])).repartition(1).cache()
+    plain = VectorAssembler(inputCols=filtering.FEATURES, outputCol="x").transform(trades).withColumn("w", F.when(F.col("label") == 1, 2.5).otherwise(1.0))
+    model = GBTClassifier(featuresCol="x", labelCol="label", weightCol="w", maxIter=8, stepSize=0.1, maxDepth=4, minInstancesPerNode=20, featureSubsetStrategy="all").fit(plain)
+    want = [r[0] for r in model.transform(plain).select(vector_to_array("probability")[1]).collect()]
+    setting = {"num_leaves": 16, "learning_rate": 0.1, "scale_pos_weight": 2.5}
+    got = [r[0] for r in filtering.scored(trades, filtering.fit(trades, setting, rounds=8)).select("p_win").collect()]
+    assert np.allclose(got, want, rtol=0, atol=1e-12) and len(set(want)) > 50
+    spark.sparkContext.setJobGroup("all rounds", "")
+    filtering.fit(trades)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("all rounds")
+    spark.sparkContext._jsc.clearJobGroup()
+    assert 0 < len(jobs) <= 8  # two passes, whatever the rounds
+
+
+def test_boosting_of_missing_values_and_drawn_rows(spark):
+    rows = [(float(k % 7) if k % 5 else None, 1.0, float("nan") if k % 11 == 0 else float(k % 3), 0.5, None if k % 50 == 0 else float(k % 7 > 3)) for k in range(600)]
+    trades = spark.createDataFrame(rows, ", ".join(f"{f} double" for f in [*filtering.FEATURES, "label"]))
+    setting = {"bagging_fraction": 0.6, "bagging_freq": 1, "feature_fraction": 0.5}
+    kept = filtering.scored(trades, filtering.fit(trades, setting, rounds=60)).where("stop_distance IS NOT NULL").collect()
+    assert len(kept) == 480 and all((r.p_win > 0.5) == (r.stop_distance > 3) for r in kept)
+    assert filtering.fit(trades.where("label = 1")) is None
+
+
 def test_search_stops_bad_trials():
     seen = []
 

@@ -1,6 +1,6 @@
 """A classifier of trades: features, labels, purged cross-validation, parameter search, and the probability gate.
 
-Gradient-boosted trees of Spark ML stand for the boosting library; leaves become a depth and bagging a sampling rate.
+Gradient-boosted trees as Spark ML's stand for the boosting library (boosting.py); leaves become a depth and bagging a sampling rate.
 """
 
 from __future__ import annotations
@@ -9,13 +9,10 @@ import math
 import random
 import statistics
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators import metrics, walkforward
+from tidemark.operators import boosting, metrics, walkforward
 
 FEATURES = ["stop_distance", "target_distance", "reward_ratio", "session_time"]
 OPEN, LENGTH = 570, 390
@@ -49,28 +46,18 @@ def log_loss(p: str, y: str = "label") -> Column:
     return -F.avg(F.col(y) * F.log(q) + (1 - F.col(y)) * F.log(1 - q))
 
 
-def fit(train: DataFrame, parameters: dict | None = None, rounds: int = ROUNDS) -> GBTClassificationModel | None:
+def fit(train: DataFrame, parameters: dict | None = None, rounds: int = ROUNDS) -> boosting.Model | None:
     """A classifier of the rows; None if they hold one class only."""
     p = DEFAULTS | (parameters or {})
-    n = {r.label: r["count"] for r in train.groupBy("label").count().collect()}  # two classes
-    if len(n) < 2:
-        return None
-    weight = p["scale_pos_weight"] or n[0.0] / n[1.0]
-    share = p["bagging_fraction"] if p["bagging_freq"] else 1.0
-    rows = VectorAssembler(inputCols=FEATURES, outputCol="_x").transform(train).withColumn("_weight", F.when(F.col("label") == 1, weight).otherwise(1.0)).select("_x", "label", "_weight")
-    kind = GBTClassifier(
-        featuresCol="_x", labelCol="label", weightCol="_weight", seed=SEED, maxIter=rounds, stepSize=p["learning_rate"], maxDepth=max(1, math.ceil(math.log2(p["num_leaves"]))),
-        minInstancesPerNode=p["min_child_samples"], subsamplingRate=share, featureSubsetStrategy="all" if p["feature_fraction"] == 1 else str(p["feature_fraction"]),
+    return boosting.fit(
+        train, FEATURES, rounds=rounds, rate=p["learning_rate"], depth=max(1, math.ceil(math.log2(p["num_leaves"]))), least=p["min_child_samples"], weight=p["scale_pos_weight"],
+        row_share=p["bagging_fraction"] if p["bagging_freq"] else 1.0, feature_share=p["feature_fraction"], seed=SEED,
     )
-    return kind.fit(rows)
 
 
-def scored(trades: DataFrame, model: GBTClassificationModel | None) -> DataFrame:
+def scored(trades: DataFrame, model: boosting.Model | None) -> DataFrame:
     """Trades with the probability of a win; NULL without a model."""
-    if model is None:
-        return trades.withColumn("p_win", F.lit(None).cast("double"))
-    rows = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="_x").transform(trades))
-    return rows.withColumn("p_win", vector_to_array("probability")[1]).select(*trades.columns, "p_win")
+    return trades.withColumn("p_win", F.lit(None).cast("double") if model is None else model.probability())
 
 
 def split_losses(trades: DataFrame, parameters: dict | None = None, rounds: int = ROUNDS, splits: int = SPLITS):
