@@ -31,7 +31,7 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest doc_id, null last, of each component of texts alike by five-word shingles."""
+    """The row with the smallest doc_id, null last, of each component of texts alike by five-word shingles: SimHash through vantage-point trees, then exact."""
     low, high, one = (f"_{uuid.uuid4().hex}" for _ in range(3))
     order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "low", "high")).alias("first")
     found = similar.components(docs).groupBy("node", "root").agg(order).groupBy("root").agg(F.min("first").alias("first"))

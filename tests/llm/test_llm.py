@@ -524,3 +524,57 @@ def test_near_duplicates_without_good_ids(spark):
         assert r.doc_id == min(own, default=None)
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert c.near_duplicates_stage(spark, empty, "").collect() == []
+
+
+def test_near_duplicates_through_trees_of_fingerprints(spark, monkeypatch):
+    import corpus_pipeline as c
+
+    seen = []
+
+    def tree(*given):
+        seen.append(simhash.VantageTree(*given))
+        return seen[-1]
+
+    monkeypatch.setattr(similar, "VantageTree", tree)
+    monkeypatch.setattr(similar, "SHARD_ROWS", 64)
+    texts = near_copies()
+    group, _ = five_word_components(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert sorted(r.doc_id for r in c.near_duplicates_stage(spark, docs, "").collect()) == sorted(set(group))
+    assert len(seen) == similar.TREES and all(t.reach == 1 and t.shards > 1 for t in seen)
+
+
+def test_leaf_links_as_brute_force(monkeypatch):
+    monkeypatch.setattr(similar, "LEAF", 32)
+    rng = np.random.default_rng(4)
+    rec = np.zeros(1500, similar.RECORD)
+    rec["node"], rec["fp"] = np.arange(1500), rng.integers(0, 2**16, 1500)
+    rec["check"] = rng.integers(0, 2**63, (1500, similar.CHECK))
+    rec["fp"][700:900], rec["check"][700:900] = 77, rec["check"][700]  # dense
+    for k in range(1000, 1400):  # chains, each a bit or two from the one before it
+        rec["fp"][k] = rec["fp"][k - 1] ^ (1 << rng.integers(16)) ^ ((1 << rng.integers(16)) if k % 7 == 0 else 0)
+        rec["check"][k] = rec["check"][k - 1] ^ np.uint64(0x0F << rng.integers(40))
+    close = np.bitwise_count(rec["fp"][:, None] ^ rec["fp"]) <= 1
+    close &= np.bitwise_count(rec["check"][:, None] ^ rec["check"]).sum(2) <= similar.FAR
+    costs = simhash.Costs(rec["fp"].astype(np.uint64), 32, 1500, 1, rng)
+    a, b = similar.leaf_links(rec, costs)
+    assert close[a, b].sum() >= 400
+    got = simhash.forest(a, b, np.arange(1500))
+    assert (got == simhash.min_label(close)).all()
+    tree = simhash.VantageTree(rec["fp"].astype(np.uint64), 1500, 64, 1)
+    at, shard = tree.route(rec["fp"].astype(np.uint64))
+    own = np.zeros((1500, tree.shards), bool)
+    own[at, shard] = True
+    i, j = np.nonzero(np.bitwise_count(rec["fp"][:, None] ^ rec["fp"]) <= 1)
+    assert tree.shards > 8 and (own[i] & own[j]).any(1).all()
+
+
+def test_pairs_at_the_least_similarity_meet_in_a_tree():
+    rng = np.random.default_rng(6)
+    missed = 0
+    for n in rng.integers(20, 400, 1500) // 9 * 9 + 9:
+        pool = rng.integers(0, 2**63, n * 10 // 9, dtype=np.uint64)
+        a, b = (similar.signature(np.sort(x)) for x in (pool[:n], pool[len(pool) - n :]))  # of n + n / 9 eight ninths of n are in both
+        meet = (np.bitwise_count(a.view(np.uint16) ^ b.view(np.uint16)) <= 1).any()
+        missed += not (meet and np.bitwise_count(a ^ b)[: similar.CHECK].sum() <= similar.FAR)
+    assert missed <= 3

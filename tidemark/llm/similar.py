@@ -1,10 +1,12 @@
-"""Near-duplicate texts by five-word shingles: all pairs whose Jaccard similarity is 0.8 or more, up to 1 in 1000.
+"""Near-duplicate texts by five-word shingles: SimHash through vantage-point trees, then the exact similarity.
 
-A text's set of shingles has a signature of 64 bytes, each from the least of its hashes under one permutation. The
-bytes are cut into 16 bands; sets with an equal band meet in its bucket, which a pair at 0.8 does with 0.9998. A pair
-is looked at in the first band in which it meets; if enough bytes of the signatures agree, the exact similarity of the
-two sets decides. In a bucket parts grow from a member by search over what isn't reached yet, so a tight group takes
-about one comparison a member. Equal sets are one node throughout.
+A text's set of shingles has a SimHash of 448 bits, cut into 28 fingerprints of 16. Each of these has a vantage-point
+tree of its own (simhash.VantageTree, boundary points sent to both sides), so all pairs that differ in at most one bit
+of a fingerprint meet in a leaf, where a tree of the same kind finds them. A bit of a pair at similarity 0.8 differs with
+probability acos(8 / 9) / pi = 0.15, so such a pair has 0.28 to meet in one tree and 0.9999 in any. One long fingerprint
+would need a reach near the distance of unrelated texts, which makes nearly all points boundary points. Pairs of a leaf
+whose first 192 bits are near too join candidate groups; in these the sets of shingles themselves decide, with links
+from 0.8 on and none below. Equal sets are one node throughout.
 
 Defined results: words are told apart by ASCII white space and compared in lower case; a text of fewer than five words
 is one shingle; null and blank texts are equal to each other.
@@ -22,16 +24,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import by_batch, cut, ship
-from tidemark.llm.components import merge
+from tidemark.llm.components import forest, merge
+from tidemark.llm.simhash import SAMPLE, Costs, VantageTree, distance, split
 
 SIZE, SEED = 5, 42
-BANDS, TASK_ROWS = 16, 50_000
-ROWS = 500  # of which texts or sets are held at a time
-#: Of 64 bytes; at similarity 0.8 51 agree on average, with a deviation of 3.2.
-AGREE = 38
-_draw = np.random.default_rng(17)
-_XOR, _TIMES = (_draw.integers(0, 2**64, 4 * BANDS, dtype=np.uint64) for _ in range(2))
-_TIMES |= np.uint64(1)
+WORDS, REACH = 7, 1
+TREES = 4 * WORDS
+#: A tree's leaves have SHARD_ROWS fingerprints or a SHARDS-th of all; the trees within leaves go on to LEAF.
+SHARD_ROWS, SHARDS, LEAF = 8192, 32, 512
+TASK_ROWS = 20_000
+ROWS, BLOCK = 500, 1 << 13  # of which texts or sets, or hashes of one set, are held at a time
+#: Of 192 bits; at similarity 0.8 29 differ on average, with a deviation of 5, and 96 of unrelated texts, with 7.
+CHECK, FAR = 3, 56
+RECORD = np.dtype([("node", "<i8"), ("check", "<u8", CHECK), ("fp", "<u2")])
+_STEP = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -45,10 +51,14 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 def signature(own: np.ndarray) -> np.ndarray:
-    if not len(own):
-        return np.zeros(4 * BANDS, np.uint8)
-    least = np.array([((own ^ x) * m).min() for x, m in zip(_XOR, _TIMES, strict=True)])
-    return ((least >> np.uint64(16)) & np.uint64(255)).astype(np.uint8)
+    """SimHash of a set as WORDS numbers of 64 bits: a bit is 1 if set in over half of the hashes."""
+    ones = np.zeros(64 * WORDS, np.int64)
+    for lo in range(0, len(own), BLOCK):
+        z = own[lo : lo + BLOCK, None] + _STEP
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        ones += np.unpackbits((z ^ (z >> np.uint64(31))).view(np.uint8), axis=1).sum(0, dtype=np.int32)
+    return np.packbits(2 * ones > len(own)).view(np.uint64)
 
 
 def binary(parts: list[bytes]) -> pa.Array:
@@ -69,30 +79,49 @@ def parts(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[np.
             yield np.array(part)
 
 
-def likely(sig: np.ndarray, t: int) -> Callable[[int, np.ndarray], np.ndarray]:
-    """Pairs of one bucket of band t that no earlier band has and whose signatures agree enough."""
-    band = sig.view(np.uint32)
+def leaf_links(rec: np.ndarray, costs: Costs) -> tuple[np.ndarray, np.ndarray]:
+    """Rows linked in a leaf: pairs with near fingerprints and near check bits, as many as join their group."""
+    fp, check, rng = rec["fp"].astype(np.uint64), np.ascontiguousarray(rec["check"]), np.random.default_rng(11)
+    out = [(np.empty(0, np.int64),) * 2]
 
-    def near(i: int, left: np.ndarray) -> np.ndarray:
-        ok = (sig[left] == sig[i]).sum(1) >= AGREE
-        ok[ok] = ~(band[left[ok], :t] == band[i, :t]).any(1)
-        return ok
+    def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(check[i] ^ check[j]).sum(1) <= FAR
 
-    return near
+    todo = [np.arange(len(rec))]
+    while todo:
+        at = todo.pop()
+        if len(at) > LEAF and (s := split(fp[at], REACH, rng, costs)):
+            d = distance(fp[at], s[0])
+            todo += [at[d <= s[1] + REACH], at[d > s[1]]]
+        elif len(at) > LEAF:  # dense: a tight group takes about one comparison a member
+
+            def reached(i: int, left: np.ndarray, at: np.ndarray = at) -> np.ndarray:
+                ok = distance(fp[at[left]], fp[at[i]]) <= REACH
+                ok[ok] = near(at[left[ok]], at[i])
+                return ok
+
+            for part in parts(len(at), reached):
+                out.append((at[part], np.repeat(at[part[0]], len(part))))
+        else:
+            own = rec["fp"][at]
+            i, j = np.nonzero(np.bitwise_count(own[:, None] ^ own[None, :]) <= REACH)
+            i, j = at[i[i < j]], at[j[i < j]]
+            ok = near(i, j)
+            out.append((i[ok], j[ok]))
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
 
 
-def alike(sig: np.ndarray, t: int, sets: list[np.ndarray]) -> Callable[[int, np.ndarray], np.ndarray]:
-    """Likely pairs whose sets have a similarity of 0.8 or more."""
-    first = likely(sig, t)
+def alike(sets: list[np.ndarray]) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Pairs whose sets have a similarity of 0.8 or more."""
+    sizes = np.array([len(x) for x in sets])
 
     def near(i: int, left: np.ndarray) -> np.ndarray:
-        ok = first(i, left)
+        ok = (5 * sizes[left] >= 4 * sizes[i]) & (5 * sizes[i] >= 4 * sizes[left])
         at = np.flatnonzero(ok)
         for lo in range(0, len(at), 256):
             now = at[lo : lo + 256]
-            others = [sets[j] for j in left[now]]
-            size = np.array([len(x) for x in others])
-            both = np.concatenate(others)
+            size = sizes[left[now]]
+            both = np.concatenate([sets[j] for j in left[now]])
             found = sets[i][np.minimum(np.searchsorted(sets[i], both), len(sets[i]) - 1)] == both
             common = np.add.reduceat(found.astype(np.int64), np.concatenate([[0], size.cumsum()[:-1]]))
             ok[now] = 5 * common >= 4 * (size + len(sets[i]) - common)
@@ -101,16 +130,6 @@ def alike(sig: np.ndarray, t: int, sets: list[np.ndarray]) -> Callable[[int, np.
     return near
 
 
-def buckets(group: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Band, rows and signatures of each bucket of a task with more than one row."""
-    key, node = group.column("key").to_numpy(), group.column("node").to_numpy()
-    sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(-1, 4 * BANDS)
-    order = np.lexsort((node, key))
-    for at in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
-        if len(at) > 1:
-            yield int(key[at[0]] % BANDS), at, np.ascontiguousarray(sig[at])
-
-
 def digest() -> list[Column]:
     """Two hashes of the text, as columns low and high."""
     text = F.col("text").cast("string")
@@ -133,31 +152,45 @@ def components(docs: DataFrame) -> DataFrame:
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *digest(), F.col("text").cast("string").alias("text"))
     signed = cut(by_batch(text, sign, "doc_id long, low long, high long, node long, sig binary", ROWS))
     distinct = cut(signed.groupBy("node").agg(F.min(F.struct("low", "high")).alias("one"), F.min("sig").alias("sig")))
-    n_tasks = max(64, distinct.count() * BANDS // TASK_ROWS)
-    task = F.pmod(F.xxhash64("key"), F.lit(n_tasks)).alias("task")
+    total = distinct.count()
+    sample = distinct.select("sig").orderBy(F.xxhash64("sig")).limit(SAMPLE).toArrow().column("sig").to_pylist()
+    prints = np.frombuffer(b"".join(sample), np.uint16).reshape(-1, TREES).T.astype(np.uint64)
+    rows = max(SHARD_ROWS, total // SHARDS)
+    trees = [VantageTree(own, total, rows, REACH) for own in prints]
+    first = np.cumsum([0, *(t.shards for t in trees)])
+    costs = Costs(prints[0], LEAF, 4 * rows, REACH, np.random.default_rng(7))
+    known = docs.sparkSession.sparkContext.broadcast((trees, first, costs))
 
     def deal(b: pa.RecordBatch) -> pa.RecordBatch:
-        sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, BANDS)
-        key = sig.astype(np.int64) * BANDS + np.arange(BANDS)
-        at = pa.array(np.repeat(np.arange(len(sig)), BANDS))
-        return pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(key.ravel())], ["node", "sig", "key"])
-
-    def sift(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        used = np.zeros(group.num_rows, bool)
-        for t, at, sig in buckets(group):
-            for part in parts(len(at), likely(sig, t)):
-                used[at[part]] = True
-        return group.filter(pa.array(used)).drop_columns(["task"])
+        trees, first, _ = known.value
+        raw = b"".join(b.column(1).to_pylist())
+        fp, rec = np.frombuffer(raw, np.uint16).reshape(-1, TREES), np.empty(b.num_rows, RECORD)
+        rec["node"], rec["check"] = b.column(0).to_numpy(), np.frombuffer(raw, np.uint64).reshape(-1, WORDS)[:, :CHECK]
+        shards, rows = [], []
+        for k, tree in enumerate(trees):
+            rec["fp"] = fp[:, k]
+            at, shard = tree.route(rec["fp"].astype(np.uint64))
+            order = shard.argsort(kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+                shards.append(first[k] + shard[own[0]])
+                rows.append(rec[at[own]].tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), binary(rows)], ["shard", "rows"])
+
+    def search(group: pa.Table) -> pa.Table:
+        rec = np.frombuffer(b"".join(group.column("rows").to_pylist()), RECORD)
+        a, b = leaf_links(rec, known.value[2])
+        label = forest(a, b, np.arange(len(rec)))
+        used = np.unique(np.concatenate([a, b]))
+        return pa.table({"node": rec["node"][used], "part": rec["node"][label[used]]})
 
     def link(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        node = group.column("node").to_numpy()
-        own = group.column("own")
+        node, root, own = group.column("node").to_numpy(), group.column("root").to_numpy(), group.column("own")
+        order = np.lexsort((node, root))
         out = [(np.empty(0, np.int64),) * 2]
-        for t, at, sig in buckets(group):
+        for at in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
             sets = [np.frombuffer(own[int(j)].as_py(), np.uint64) for j in at]
-            for part in parts(len(at), alike(sig, t, sets)):
+            for part in parts(len(at), alike(sets)):
                 ids = node[at[part]]
                 out.append((ids, np.repeat(ids.min(), len(ids))))
         return pa.table(dict(zip(("node", "part"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
@@ -165,12 +198,13 @@ def components(docs: DataFrame) -> DataFrame:
     def whole(b: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([b.column(0), binary([shingles(t).tobytes() for t in b.column(1).to_pylist()])], ["node", "own"])
 
-    dealt = by_batch(distinct.select("node", "sig"), deal, "node long, sig binary, key long")
-    near = cut(dealt.select("*", task).groupBy("task").applyInArrow(sift, "node long, sig binary, key long"))
-    ones = near.select("node").distinct().join(distinct, "node").select("node", "one.low", "one.high")
+    dealt = by_batch(distinct.select("node", "sig"), deal, "shard long, rows binary")
+    near = cut(merge(dealt.groupBy("shard").applyInArrow(search, "node long, part long")))
+    ones = near.join(distinct, "node").select("node", "one.low", "one.high")
     # equal texts leave a partition once
     texts = text.join(ones, ["low", "high"]).groupBy("node").agg(F.first("text").alias("text"))
     sets = by_batch(texts, whole, "node long, own binary", ROWS)
-    members = merge(near.join(sets, "node").select("*", task).groupBy("task").applyInArrow(link, "node long, part long"))
-    roots = distinct.select("node").join(members, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    task = F.pmod(F.xxhash64("root"), F.lit(max(64, total // TASK_ROWS))).alias("task")
+    found = near.join(sets, "node").select("*", task).groupBy("task").applyInArrow(link, "node long, part long")
+    roots = distinct.select("node").join(found, "node", "left").select("node", F.coalesce("part", "node").alias("root"))
     return signed.drop("sig").join(cut(roots), "node")
